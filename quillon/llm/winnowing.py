@@ -7,71 +7,71 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize, table
 
-#: What a word is made of, after A-Z are lower-cased: ASCII digits and letters, all above ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words: all ASCII but digits and letters. A-Z are lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a k-gram, and k-grams of a window: spans of GRAM + WINDOW - 1 words are guaranteed.
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
+#: Words kept on either side of a matched k-gram, for extending it.
+REACH = WINDOW - 1
 #: A k-gram hash loses its low bits, where a window keeps the offset of its minimum.
 OFFSET_BITS = 7
 #: Benchmark fingerprints up to this many (some 200 bytes each) are broadcast; else Spark joins.
 BROADCAST_ROWS = 200_000
 
 
-def words(text: Column) -> Column:
-    """The words of a text as an array; none for null."""
-    found = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
-    return F.coalesce(found, F.array().cast("array<string>"))
-
-
-def _gram(h: Column, i: Column, n: int) -> Column:
-    return F.xxhash64(*(F.get(h, i + j) for j in range(n)))
-
-
-def _fingerprints(df: DataFrame, keys: list[str], short: list[int]) -> DataFrame:
-    """``df(*keys, n, h)``, with h the word hashes, to ``(*keys, n, f)``: f holds a struct
-    ``(p, len, fp, ctx)`` for each position whose k-gram is the minimum of a window (len 0; ctx:
-    the word hashes from WINDOW - 1 before it to as many behind it), and for each run of ``len``
-    words, for each len in ``short``."""
-    keep = ~OFFSET_BITS
-    g = F.transform("h", lambda _, i: _gram(F.col("h"), i, GRAM).bitwiseAND(F.lit(keep)))
-    df = df.select(*keys, "n", "h", g.alias("g"))
-
-    def low(x: Column, i: Column) -> Column:
-        after = (F.get("g", i + j).bitwiseOR(F.lit(j)) for j in range(1, WINDOW))
-        return F.least(x, *after)
-
-    def placed(x: Column, i: Column) -> Column:
-        p = i + x.bitwiseAND(F.lit(OFFSET_BITS)).cast("int")
-        return F.struct(p.alias("p"), x.bitwiseAND(F.lit(keep)).alias("fp"))
-
-    # An attribute within a lambda must be a plain column: Spark would compute any other
-    # expression anew for each element.
-    starts = F.slice("g", 1, F.greatest(F.col("n") - (SPAN - 1), F.lit(0)))
-    df = df.select(*keys, "n", "h", F.transform(F.transform(starts, low), placed).alias("m"))
-    first = F.filter("m", lambda s, i: (i == 0) | (F.get("m", i - 1)["p"] != s["p"]))
-
-    def at(p: Column, size: int, fp: Column, ctx: Column) -> Column:
-        return F.struct(
-            p.alias("p"), F.lit(size).alias("len"), fp.alias("fp"), ctx.alias("ctx")
-        )
-
-    def around(p: Column) -> Column:
-        return F.array(*(F.get("h", p + j) for j in range(1 - WINDOW, SPAN)))
-
-    parts = [F.transform(first, lambda s: at(s["p"], 0, s["fp"], around(s["p"])))]
-    none = F.lit(None).cast("array<bigint>")
-    for size in short:
-        runs = F.slice("h", 1, F.greatest(F.col("n") - (size - 1), F.lit(0)))
-        parts.append(
-            F.transform(runs, lambda _, i, size=size: at(i, size, _gram(F.col("h"), i, size), none))
-        )
-    return df.select(*keys, "n", F.concat(*parts).alias("f"))
+def word_hashes(text: Column) -> Column:
+    """The 64-bit hashes of a text's words, in order; none for null."""
+    ascii_only = lambda w: F.octet_length(w) == F.length(w)
+    lower = lambda w: F.when(ascii_only(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
+    parts = F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
+    return F.transform(parts, lambda w: F.xxhash64(lower(w)))
+
+
+def _gram(start: Column, n: int) -> Column:
+    return F.xxhash64(*(F.get("h", start + j) for j in range(n)))
+
+
+def _window(start: Column) -> Column:
+    """The smallest k-gram hash of a window, with its offset in the low bits."""
+    grams = (_gram(start + j, GRAM).bitwiseAND(F.lit(~OFFSET_BITS)) for j in range(WINDOW))
+    return F.least(*(g.bitwiseOR(F.lit(j)) for j, g in enumerate(grams)))
+
+
+def _fingerprints(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df(*keys, h)``, h the word hashes, to ``(*keys, n, p, len, fp, ctx)``: for each row a head
+    row with p = -1, and one for each position p whose k-gram is the minimum of a window; ctx has
+    the word hashes from REACH words before the k-gram to as many behind it. Windows that choose
+    the same position repeat its row, which costs less than looking back would. Positions are
+    exploded as numbers beside the array, so that all hashing runs in generated code, and no array
+    is copied to a row unless the row is kept."""
+    df = df.select(*keys, "h", F.size("h").alias("n"))
+    last = F.greatest(F.col("n") - SPAN, F.lit(-1))
+    df = df.select(*keys, "h", "n", F.explode(F.sequence(F.lit(-1), last)).alias("i"))
+    i = F.col("i")
+    offset = lambda v: v.bitwiseAND(F.lit(OFFSET_BITS)).cast("int")
+    df = df.select(*keys, "h", "n", "i", _window(i).alias("v"))
+    p = F.when(i < 0, F.lit(-1)).otherwise(i + offset(F.col("v")))
+    df = df.select(*keys, "h", "n", "v", p.alias("p"))
+    around = F.array(*(F.get("h", F.col("p") + j) for j in range(-REACH, GRAM + REACH)))
+    fp = F.col("v").bitwiseAND(F.lit(~OFFSET_BITS))
+    return df.select(
+        *keys, "n", "p", F.lit(0).alias("len"),
+        F.when(F.col("p") >= 0, fp).alias("fp"), F.when(F.col("p") >= 0, around).alias("ctx"),
+    )
 
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _runs(df: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
+    """As :func:`_fingerprints`, but every run of ``len`` words for each of ``sizes``; no head."""
+    df = df.select(*keys, "h", F.size("h").alias("n"))
+    df = df.select(*keys, "h", "n", F.explode(F.array(*map(F.lit, sizes))).alias("len"))
+    df = df.where("n >= len")
+    df = df.select(*keys, "h", "n", "len", F.explode(F.expr("sequence(0, n - len)")).alias("p"))
+    fp = F.lit(None).cast("long")
+    for size in sizes:
+        fp = F.when(F.col("len") == size, _gram(F.col("p"), size)).otherwise(fp)
+    return df.select(*keys, "n", "p", "len", fp.alias("fp"), F.lit(None).cast("array<bigint>").alias("ctx"))
 
 
 def _run(same: list[Column]) -> Column:
@@ -103,37 +103,29 @@ def find_hits(
     repeated document rows each get their row, repeated item ids count once, null item ids never.
     Of two rows of one id with different texts each has its own result.
     """
-    spark = docs.sparkSession
     i = items.where(F.col(item_col).isNotNull())
-    i = i.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w"))
-    i = i.distinct().select("item", F.size("w").alias("n"), _hashes(F.col("w")).alias("h"))
-    i = materialize(i.where("n > 0"), "items")
-    short = sorted(r.n for r in i.where(f"n < {SPAN}").select("n").distinct().collect())
-    i = _fingerprints(i, ["item"], short).select("item", "n", F.explode_outer("f").alias("e"))
-    i = i.where("e.len = 0 or e.len = n")
-    i = i.select("item", F.col("e.len").alias("ilen"), F.col("e.fp").alias("ifp"), F.col("e.ctx").alias("ictx"))
-    i = materialize(i.distinct(), "item-fingerprints")
-    if i.count() <= BROADCAST_ROWS:
-        i = F.broadcast(i)
-
-    d = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), words(F.col(text_col)).alias("w")
-    )
-    d = d.select("id", "k", F.size("w").alias("n"), _hashes(F.col("w")).alias("h"))
-    # explode_outer, as for explode Spark would add a filter that computes the array twice.
-    d = _fingerprints(d, ["id", "k"], short)
-    head = F.struct(
-        F.lit(-1).alias("p"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("fp"),
-        F.lit(None).cast("array<bigint>").alias("ctx"),
-    )
-    d = d.select("id", "k", "n", F.explode_outer(F.concat(F.array(head), "f")).alias("e"))
-    d = d.select("id", "k", "n", "e.p", "e.len", "e.fp", "e.ctx")
-    d = d.join(i, (d.fp == F.col("ifp")) & (d.len == F.col("ilen")), "left")
+    i = i.select(F.col(item_col).cast("string").alias("item"), word_hashes(F.col(item_text_col)).alias("h"))
+    i = materialize(i.distinct(), "items")
+    sizes = i.where(F.size("h").between(1, SPAN - 1)).select(F.size("h").alias("n")).distinct()
+    short = sorted(r.n for r in sizes.collect())
+    marks = _fingerprints(i, ["item"]).where("p >= 0")
+    if short:
+        marks = marks.union(_runs(i, ["item"], short).where("n = len"))
+    marks = marks.select("item", F.col("len").alias("ilen"), F.col("fp").alias("ifp"), F.col("ctx").alias("ictx"))
+    marks = materialize(marks.distinct(), "item-fingerprints")
+    if marks.count() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
+
+    keys = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k")]
+    words = docs.select(*keys, word_hashes(F.col(text_col)).alias("h"))
+    d = _fingerprints(words, ["id", "k"])
+    if short:
+        d = d.union(_runs(words, ["id", "k"], short))
+    d = d.join(marks, (d.fp == F.col("ifp")) & (d.len == F.col("ilen")), "left")
     d = d.where("p = -1 or item is not null")
-    reach = WINDOW - 1
-    same = [F.coalesce(F.get("ctx", F.lit(j)) == F.get("ictx", F.lit(j)), F.lit(False)) for j in range(GRAM + 2 * reach)]
-    left = _run([same[reach - 1 - j] for j in range(reach)])
-    right = _run(same[reach:])
+    same = [F.coalesce(F.get("ctx", F.lit(j)) == F.get("ictx", F.lit(j)), F.lit(False)) for j in range(GRAM + 2 * REACH)]
+    left = _run([same[REACH - 1 - j] for j in range(REACH)])
+    right = _run(same[REACH:])
     hit = F.when(F.col("p") < 0, F.lit(None)).when(
         F.col("len") > 0, F.struct(F.col("p").alias("at"), F.col("len").alias("size"))
     ).when(
