@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,3 +41,33 @@ def fold(id_col: Column, parts: int) -> Column:
 def field(df: DataFrame, name: str, alias: str | None = None) -> T.StructField:
     """The field of column ``name``, nullable, for the schema of a Python-backed step."""
     return T.StructField(alias or name, df.schema[name].dataType, True)
+
+
+def as_bytes(column: pa.Array) -> Iterator[bytes | None]:
+    """The values of a string column as UTF-8, one at a time."""
+    wide = pa.types.is_large_string(column.type)
+    for x in column.cast(pa.large_binary() if wide else pa.binary()):
+        yield x.as_py()
+
+
+def with_columns(
+    df: DataFrame,
+    text_col: str,
+    new: list[tuple[str, T.DataType, pa.DataType]],
+    compute: Callable[[Iterator[bytes | None]], list[list]],
+) -> DataFrame:
+    """``df`` with columns that ``compute`` makes from the texts of a batch (a list for each).
+
+    A narrow step: rows keep their order and partition, other columns pass through as they are."""
+    at = df.columns.index(text_col)
+    names = [*df.columns, *(n for n, _, _ in new)]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = compute(as_bytes(b.column(at)))
+            made = [pa.array(x, kind) for x, (_, _, kind) in zip(made, new, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=names)
+
+    fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields]
+    fields += [T.StructField(n, kind, True) for n, kind, _ in new]
+    return df.mapInArrow(step, T.StructType(fields))

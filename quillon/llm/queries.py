@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import simhash, winnowing
+from quillon.llm import gam, hyperdim, simhash, winnowing
 
 QUERIES = {
+    "op3_quality_classifier": gam.op3_quality_classifier,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op6_benchmark_decontamination": winnowing.op6_benchmark_decontamination,
+    "op10_language_id": hyperdim.op10_language_id,
 }
 
 ORACLE_SQL = {"op6_benchmark_decontamination": winnowing.ORACLE_SQL}
