@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from quillon.llm import brown, content, gam, hostrank, hyperdim, qalsh, simhash, winnowing
+from quillon.llm import (
+    brown,
+    content,
+    gam,
+    hostrank,
+    hyperdim,
+    packing,
+    qalsh,
+    simhash,
+    tokencounts,
+    winnowing,
+)
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_token_counts": tokencounts.op2_token_counts,
     "op3_quality_classifier": gam.op3_quality_classifier,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_nearest_neighbours": qalsh.op5_nearest_neighbours,
