@@ -105,8 +105,8 @@ def digit_share(c: Column | str) -> Column:
 
 
 def register(c: Column | str) -> Column:
-    """``dialogico`` from two question marks, else ``expositivo``."""
-    return F.when(occurrences(c, "?") >= 2, "dialogico").otherwise("expositivo")
+    """``dialogico`` from two question marks, else ``argumentativo``."""
+    return F.when(occurrences(c, "?") >= 2, "dialogico").otherwise("argumentativo")
 
 
 def is_noise(c: Column | str, pattern: str = L.NOISE) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.plans import text_plans
+from quillon.plans import corpus_plans, text_plans
 
-_PLANS = (text_plans,)
+_PLANS = (text_plans, corpus_plans)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}

@@ -202,7 +202,7 @@ ORACLE_SQL = {
     "text_measures": rf"""
 SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS n_words,
   round(CASE WHEN length(text) = 0 THEN 1.0 ELSE len(regexp_extract_all(text, '\p{{Nd}}')) / length(text) END, 6) AS digit_share,
-  CASE WHEN len(regexp_extract_all(text, '\?')) >= 2 THEN 'dialogico' ELSE 'expositivo' END AS register,
+  CASE WHEN len(regexp_extract_all(text, '\?')) >= 2 THEN 'dialogico' ELSE 'argumentativo' END AS register,
   CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS n_the,
   len(list_filter(regexp_extract_all(text, '\S+'), lambda t: regexp_matches(t, '\p{{L}}'))) >= 15 AND NOT regexp_matches(text, '[À-ÖØ-öø-ÿ]') AS lacks_accents,
   CAST(len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_'']+'), lambda t: lower(t) IN ('the', 'de')))
