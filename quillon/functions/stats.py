@@ -47,7 +47,8 @@ def binom_sf(k: Column, n: Column, p: Column | float) -> Column:
 def binom_pmf(k: Column, n: Column, p: Column) -> Column:
     k, n = k.cast("int"), n.cast("int")
     ok = (k >= 0) & (k <= n)
-    return F.when(ok, F.exp(_log_choose(n, k) + k * F.log(p) + (n - k) * F.log(1 - p))).otherwise(0.0)
+    edge = F.when(p <= 0, (k == 0).cast("double")).when(p >= 1, (k == n).cast("double"))
+    return edge.when(ok, F.exp(_log_choose(n, k) + k * F.log(p) + (n - k) * F.log(1 - p))).otherwise(0.0)
 
 
 def _bisect(test) -> Column:  # noqa: ANN001
