@@ -48,22 +48,20 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
 
 def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(host, score)`` of personalised PageRank: ``edges(src, dst, w)``, ``seeds(host, seed)`` with
-    seeds in 0 to 1; a host keeps its seed unless links bring or take something.
+    seeds in 0 to 1. A host that nothing links to has its seed as its score.
 
-    score = (1 - DAMPING) seed + DAMPING * what comes in, where a host passes its score on in
-    proportion to its links, and one without links to itself. Every round is a join and a partial
-    aggregate by host, written to the shared folder, so neither a hub nor a lost executor hurts.
-    Ends when no score moves by TOLERANCE, or after ROUNDS."""
+    score = seed + DAMPING * what comes in, where a host passes its score on in proportion to its
+    links: PageRank by 1 - DAMPING, so that a host's own seed counts in full. Every round is a join
+    and a partial aggregate by host, written to the shared folder, so neither a hub nor a lost
+    executor hurts. Ends when no score moves by TOLERANCE, or after ROUNDS."""
     total = edges.groupBy("src").agg(F.sum("w").alias("all"))
     flow = edges.join(total, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("p"))
-    loose = seeds.join(total, seeds.host == total.src, "left_anti")
-    flow = flow.union(loose.select("host", F.col("host").alias("dst"), F.lit(1.0)))
     flow = materialize(flow, "flow")
     rank = seeds.select("host", F.col("seed").alias("score"))
     for _ in range(ROUNDS):
         moved = flow.join(rank, flow.src == rank.host).groupBy("dst").agg(F.sum(F.col("p") * F.col("score")).alias("into"))
         new = seeds.join(moved, seeds.host == moved.dst, "left").select(
-            "host", ((1 - DAMPING) * F.col("seed") + DAMPING * F.coalesce("into", F.lit(0.0))).alias("score")
+            "host", (F.col("seed") + DAMPING * F.coalesce("into", F.lit(0.0))).alias("score")
         )
         new = materialize(new, "rank")
         old = rank.select("host", F.col("score").alias("old"))
@@ -84,7 +82,8 @@ def judge(
     (of distrust) to the extent that rules allow (block) its pages; trust follows links, distrust
     goes against them, and a host is blocked whose distrust exceeds its trust by MARGIN. Hosts
     are linked by the absolute links of their pages, one edge a pair of hosts, weighted by the
-    pages that have it; hosts that are only linked to pass scores on. Null html has no links; a
+    pages that have it; hosts that are only linked to have the verdict of a rule for the whole host
+    as their seed, and pass scores on. Null html has no links; a
     null url, or one without ``://``, has an empty host, which is judged like any other. Repeated
     pages stay repeated and weigh more. Empty pages give an empty result.
     """
@@ -100,7 +99,9 @@ def judge(
     edges = edges.where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
     edges = materialize(edges, "host-links")
     outside = edges.select(F.col("dst").alias("host")).distinct().join(by_host, "host", "left_anti")
-    hosts = materialize(by_host.unionByName(outside.select("host", F.lit(0.0).alias("good"), F.lit(0.0).alias("bad"))), "hosts")
+    root = F.coalesce(matching_rule(F.col("host"), F.lit("/"), rules)["verdict"], F.lit(""))
+    outside = outside.select("host", *((root == v).cast("double").alias(n) for n, v in (("good", "allow"), ("bad", "block"))))
+    hosts = materialize(by_host.unionByName(outside), "hosts")
     trust = propagate(edges, hosts.select("host", F.col("good").alias("seed")))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     distrust = propagate(back, hosts.select("host", F.col("bad").alias("seed")))

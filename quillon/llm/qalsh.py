@@ -14,9 +14,9 @@ from pyspark.sql.window import Window
 from quillon.llm.common import materialize, table
 
 #: Single projections, and the share of them in which a vector must collide to be verified.
-PROJECTIONS, THRESHOLD = 64, 0.8
+PROJECTIONS, THRESHOLD = 48, 0.8
 #: First half-width of a window on unit vectors, and its growth from one rehashing to the next.
-START, GROWTH = 0.35, 1.12
+START, GROWTH = 0.6, 1.2
 #: A query is done when it has verified this many vectors of a shard, plus this share of it.
 ENOUGH, SHARE = 64, 0.2
 SEED = 5
