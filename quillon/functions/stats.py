@@ -21,18 +21,26 @@ def _log_choose(n: Column, k: Column) -> Column:
     )
 
 
-def _upper_sum(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k) for 1 <= k <= n and 0 < p < 1, by the ratio of successive terms."""
-    first = F.exp(_log_choose(n, k) + k * F.log(p) + (n - k) * F.log(1 - p))
+def _tail_sum(k: Column, n: Column, p: Column) -> Column:
+    """P(X >= k) for 1 <= k <= n and 0 < p < 1, by the ratio of successive terms away from the mode, so
+    that a term too small for a double stands before smaller ones only: upwards from k if k lies
+    above the mean, else downwards from k - 1 and taken from 1."""
+    up = k.cast("double") > n * p
+    at = F.when(up, k).otherwise(k - 1)
+    first = F.exp(_log_choose(n, at) + at * F.log(p) + (n - at) * F.log(1 - p))
     zero = F.struct(first.alias("term"), first.alias("sum"))
-    steps = F.when(k < n, F.sequence(k + 1, F.greatest(n, k + 1))).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    above = F.when(at < n, F.sequence(at + 1, F.greatest(n, at + 1))).otherwise(none)
+    below = F.when(at > 0, F.sequence(F.greatest(at, F.lit(1)), F.lit(1))).otherwise(none)
     odds = p / (1 - p)
 
     def add(s: Column, j: Column) -> Column:
-        term = s["term"] * ((n - j + 1).cast("double") / j) * odds
+        ratio = (n - j + 1).cast("double") / j * odds
+        term = s["term"] * F.when(up, ratio).otherwise(1 / ratio)
         return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
 
-    return F.aggregate(steps, zero, add, lambda s: s["sum"])
+    total = F.aggregate(F.when(up, above).otherwise(below), zero, add, lambda s: s["sum"])
+    return F.when(up, total).otherwise(1 - total)
 
 
 def binom_sf(k: Column, n: Column, p: Column | float) -> Column:
@@ -41,7 +49,7 @@ def binom_sf(k: Column, n: Column, p: Column | float) -> Column:
     p = (F.lit(p) if isinstance(p, float) else p).cast("double")
     inner = F.least(F.greatest(p, F.lit(1e-300)), F.lit(1 - 1e-16))
     out = F.when(k <= 0, 1.0).when(k > n, 0.0).when(p <= 0, 0.0).when(p >= 1, 1.0)
-    return out.otherwise(F.least(_upper_sum(F.greatest(k, F.lit(1)), F.greatest(n, F.greatest(k, F.lit(1))), inner), F.lit(1.0)))
+    return out.otherwise(F.least(_tail_sum(F.greatest(k, F.lit(1)), F.greatest(n, F.greatest(k, F.lit(1))), inner), F.lit(1.0)))
 
 
 def binom_pmf(k: Column, n: Column, p: Column) -> Column:
