@@ -35,9 +35,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, and one row of it if it is
-    repeated. Rows with a null id have no name to be told apart by and all stay."""
-    found = simhash.near_duplicates(docs)
+    """The document with the smallest id of each group of near copies (five-word shingles, similarity
+    0.8 or more), and one row of it if it is repeated. Rows with a null id have no name to be told
+    apart by and all stay."""
+    found = simhash.similar_documents(docs)
     keep = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
     stay = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -113,3 +113,102 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+# --- near copies by similarity ---------------------------------------------------------------------
+
+#: Bits of the long fingerprint, as 64-bit words, and of a block: pairs that differ in a bit with
+#: probability r share a block with (1 - r) ** BLOCK, and there are WORDS * BITS // BLOCK of them.
+WORDS, BLOCK = 24, 24
+_LANES = np.uint64(0x0101010101010101)
+_GOLDEN = 0x9E3779B97F4A7C15
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit values have each bit; eight bits are summed at once in the bytes of a
+    word, over runs too short to overflow one."""
+    out = np.empty(BITS, np.int64)
+    at = np.arange(0, len(h), 255)
+    for b in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(b)) & _LANES, at)
+        out[b::8] = lanes.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+    return out
+
+
+def long_simhash(text: bytes | None, width: int) -> np.ndarray:
+    """WORDS 64-bit words, each a SimHash over its own mix of the shingle hashes; zeros if no words."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(WORDS, "<i8")
+    grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) > width else (b" ".join(words),)
+    n = max(1, len(words) - width + 1)
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=n)
+    out = np.empty((WORDS, BITS), bool)
+    for j in range(WORDS):
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, n, CHUNK):
+            x = h[at : at + CHUNK] + np.uint64(_GOLDEN * (j + 1) & 0xFFFFFFFFFFFFFFFF)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            counts += bit_counts(x ^ (x >> np.uint64(31)))
+        out[j] = 2 * counts > n
+    return np.packbits(out, axis=1, bitorder="little").view("<i8").ravel()
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of the long fingerprint at this Jaccard similarity of shingles: sets of one size
+    have cosine 2s / (1 + s), and a bit differs with the angle over pi."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(WORDS * BITS * np.arccos(cosine) / np.pi)
+
+
+def similar_documents(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``(id_col, component_id)``, a row for each row of ``docs``: documents whose ``width``-word shingles are
+    as similar as this, by SimHash of WORDS * BITS bits, and all that hang together by them.
+
+    Equal fingerprints are one class. Classes that agree on a block meet; in each block's group every
+    class is held against the smallest only, so a group of any size costs one comparison a member
+    and no pairs of it are emitted: copies of one text are joined through it, in one of many blocks.
+    The Hamming distance of the whole fingerprints decides. Pairs at 0.9 share a block with 99 %, at
+    0.8 with 72 %. Null and wordless texts are one class; null ids and repeats as in
+    :func:`near_duplicates`.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
+        for b in batches:
+            fps = [long_simhash(t.as_py(), width) for t in b.column(1)]
+            flat = pa.array(np.concatenate(fps) if fps else np.empty(0, np.int64), pa.int64())
+            ends = pa.array(np.arange(0, len(flat) + 1, WORDS, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, flat).cast(kind)], names=[id_col, "fps"])
+
+    schema = T.StructType([field(docs, id_col), T.StructField("fps", T.ArrayType(T.LongType()))])
+    found = docs.select(id_col, F.col(text_col).cast("binary")).mapInArrow(hashed, schema)
+    found = materialize(found.withColumn("c", F.xxhash64("fps")), "long-fingerprints")
+    classes = materialize(found.groupBy("c").agg(F.first("fps").alias("fps"), F.min(id_col).alias("first")), "classes")
+    blocks = F.array(*(_block(i * BLOCK) for i in range(WORDS * BITS // BLOCK)))
+    keyed = classes.select("c", F.posexplode(blocks).alias("t", "key"))
+    pivots = materialize(keyed.groupBy("t", "key").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").drop("q"), "pivots")
+    pairs = keyed.join(pivots, ["t", "key"]).where("c <> p").select("c", "p").distinct()
+    a = classes.select("c", F.col("fps").alias("x"))
+    b = classes.select(F.col("c").alias("p"), F.col("fps").alias("y"))
+    apart = sum((F.bit_count(F.get("x", F.lit(j)).bitwiseXOR(F.get("y", F.lit(j)))) for j in range(WORDS)), F.lit(0))
+    links = materialize(pairs, "pairs").join(a, "c").join(b, "p").where(apart <= most_bits(similarity))
+    roots = connected_components(links.select(F.least("c", "p").alias("u"), F.greatest("c", "p").alias("v")))
+    linked = classes.select("c", "first").join(roots.select(F.col("node").alias("c"), "root"), "c")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = linked.join(least, "root").select("c", "component_id")
+    named = classes.select("c", "first").join(linked, "c", "left").select("c", F.coalesce("component_id", "first").alias("component_id"))
+    return found.select(id_col, "c").join(materialize(named, "named"), "c").select(id_col, "component_id")
+
+
+def _block(bit: int):  # noqa: ANN202
+    """BLOCK bits of column ``fps`` from this bit on; a block may reach into the next word."""
+    at, off = divmod(bit, BITS)
+    low = F.shiftrightunsigned(F.get("fps", F.lit(at)), off)
+    if off + BLOCK > BITS:
+        low = low.bitwiseOR(F.shiftleft(F.get("fps", F.lit(at + 1)), BITS - off))
+    return low.bitwiseAND(F.lit((1 << BLOCK) - 1))

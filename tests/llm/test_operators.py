@@ -92,6 +92,43 @@ def test_components_of_chains_stars_and_self_links(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_long_fingerprints_estimate_similarity():
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choice(words, 400).tolist()
+    for edits in (4, 16, 40):
+        other = list(base)
+        for k in rng.choice(400, edits, replace=False):
+            other[k] = "new"
+        grams = [{tuple(w[i : i + 5]) for i in range(396)} for w in (base, other)]
+        s = len(grams[0] & grams[1]) / len(grams[0] | grams[1])
+        a, b = (simhash.long_simhash(" ".join(w).encode(), 5) for w in (base, other))
+        apart = sum(int(x).bit_count() for x in (a ^ b).view(np.uint64))
+        assert abs(apart - simhash.most_bits(s)) < 70
+    h = rng.integers(0, 2**63, 1000).astype(np.uint64)
+    assert simhash.bit_counts(h).tolist() == [int(((h >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
+
+
+def test_similar_documents_are_found_and_others_left(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+    docs, group = [], {}
+    for g in range(40):
+        base = rng.choice(words, 200).tolist()
+        for k in range(1 + g % 4):
+            w = list(base)
+            for j in rng.choice(200, k, replace=False):
+                w[j] = f"x{g}{j}{k}"
+            group[len(docs)] = g
+            docs.append((len(docs), " ".join(w)))
+    docs += [(500 + i, t) for i, t in ODD if i]
+    got = {(r.doc_id, r.component_id) for r in simhash.similar_documents(frame(spark, docs)).collect()}
+    first = {g: min(i for i in group if group[i] == g) for g in group.values()}
+    assert {(i, c) for i, c in got if i < 500} == {(i, first[g]) for i, g in group.items()}
+    assert {(501, 501), (502, 501), (503, 501), (506, 505), (507, 507), (508, 507)} <= got
+    assert simhash.similar_documents(frame(spark, [])).count() == 0
+
+
 # --- winnowing -------------------------------------------------------------------------------------
 
 

@@ -24,7 +24,7 @@ def test_stages_keep_columns_and_decide(spark, docs):
         assert new.join(docs.select("doc_id"), "doc_id", "left_anti").count() == 0
         assert 0 < new.count() <= docs.count()
         if name == "near_dedup":
-            found = simhash.near_duplicates(docs)
+            found = simhash.similar_documents(docs)
             assert {r[0] for r in new.select("doc_id").collect()} == {r[0] for r in found.select("component_id").distinct().collect()}
         if name == "decontaminate":
             assert winnowing.find_hits(new, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").count() == 0
