@@ -118,3 +118,36 @@ def judge(
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts for every url of ``pages``."""
     return judge(table(spark, sf_dir, "pages"))
+
+
+_FITS = " ".join(
+    f"WHEN (host = '{rule.partition('/')[0]}' OR ends_with(host, '.{rule.partition('/')[0]}')) AND starts_with(path, '/{rule.partition('/')[2]}') THEN '{verdict} {rule}'"
+    for verdict, rule in sorted(RULES, key=lambda r: (-len(r[1]), r[1]))
+)
+
+
+def _rank(name: str, seed: str, src: str, dst: str) -> str:
+    return f"""{name} AS (
+  SELECT 0 AS i, host, {seed} AS score FROM hosts
+  UNION ALL
+  SELECT any_value(r.i) + 1, h.host, any_value(h.{seed}) + {DAMPING} * coalesce(sum(e.w / t.w * r.score) FILTER (WHERE e.{dst} = h.host), 0)
+  FROM {name} r LEFT JOIN edges e ON e.{src} = r.host LEFT JOIN total_{src} t ON t.host = r.host, hosts h WHERE r.i < {ROUNDS} GROUP BY h.host)"""
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE s AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, translate(coalesce(html, ''), '{UPPER}', '{LOWER}') AS html FROM pages),
+m AS (SELECT *, CASE {_FITS} END AS m FROM s),
+links AS (SELECT DISTINCT page_id, host AS src, unnest(regexp_extract_all(html, '\bhref\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''<>\s]+)', 1)) AS dst FROM m),
+edges AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM links WHERE src <> dst GROUP BY ALL),
+total_src AS (SELECT src AS host, sum(w) AS w FROM edges GROUP BY 1),
+total_dst AS (SELECT dst AS host, sum(w) AS w FROM edges GROUP BY 1),
+own AS (SELECT host, avg(CAST(coalesce(starts_with(m, 'allow'), FALSE) AS INT)) AS good, avg(CAST(coalesce(starts_with(m, 'block'), FALSE) AS INT)) AS bad FROM m GROUP BY host),
+outside AS (SELECT host, CASE {_FITS} END AS m FROM (SELECT DISTINCT dst AS host, '/' AS path FROM edges WHERE dst NOT IN (SELECT host FROM own))),
+hosts AS (SELECT * FROM own UNION ALL SELECT host, CAST(coalesce(starts_with(m, 'allow'), FALSE) AS INT), CAST(coalesce(starts_with(m, 'block'), FALSE) AS INT) FROM outside),
+{_rank("trust", "good", "src", "dst")},
+{_rank("distrust", "bad", "dst", "src")},
+v AS (SELECT t.host, d.score - t.score >= {MARGIN} AS blocked FROM trust t JOIN distrust d ON t.host = d.host AND t.i = {ROUNDS} AND d.i = {ROUNDS})
+SELECT page_id, m.host, path, split_part(m, ' ', 2) AS rule, CASE WHEN m IS NOT NULL THEN split_part(m, ' ', 1) WHEN blocked THEN 'block' ELSE 'allow' END AS verdict FROM m JOIN v USING (host)
+"""

@@ -30,5 +30,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op6_benchmark_decontamination": winnowing.ORACLE_SQL,
+    "op7_url_filter": hostrank.ORACLE_SQL,
     "op8_html_extraction": content.ORACLE_SQL,
 }

@@ -335,6 +335,18 @@ def test_url_rules_and_propagation(spark):
     assert hostrank.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_url_sql_on_linked_hosts(spark):
+    link = lambda *hosts: "".join(f"<a HREF = '//{h}/x'>" for h in hosts)
+    rows = [(1, "http://a.net/x", "", link("spam.io")), (2, "http://spam.io/a", link("a.net", "c.net"), ""), (3, "http://farm.io/", link("spam.io", "good.io"), ""), (4, "http://good.io/", link("x.org", "farm.io"), ""), (5, None, None, ""), (6, "http://x.org/fr/", link("good.io"), "")]
+    rows = [r[:3] for r in rows]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = sorted(con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({hostrank.ORACLE_SQL})").fetchall())
+    got = hostrank.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == want
+
+
 def test_propagation_equals_power_iteration(spark):
     edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "a", 1.0)]
     seeds = {"a": 1.0, "b": 0.0, "c": 0.25, "d": 0.5}
