@@ -121,17 +121,17 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: probability r share a block with (1 - r) ** BLOCK, and there are WORDS * BITS // BLOCK of them.
 WORDS, BLOCK = 24, 24
 _LANES = np.uint64(0x0101010101010101)
-_GOLDEN = 0x9E3779B97F4A7C15
+_STEPS = np.array([0x9E3779B97F4A7C15 * (j + 1) & 0xFFFFFFFFFFFFFFFF for j in range(WORDS)], np.uint64)
 
 
 def bit_counts(h: np.ndarray) -> np.ndarray:
-    """How many of the 64-bit values have each bit; eight bits are summed at once in the bytes of a
-    word, over runs too short to overflow one."""
-    out = np.empty(BITS, np.int64)
-    at = np.arange(0, len(h), 255)
+    """For each row of 64-bit values how many have each bit; eight bits are summed at once in the
+    bytes of a word, over runs too short to overflow one."""
+    out = np.empty((len(h), BITS), np.int64)
+    at = np.arange(0, h.shape[1], 255)
     for b in range(8):
-        lanes = np.add.reduceat((h >> np.uint64(b)) & _LANES, at)
-        out[b::8] = lanes.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+        lanes = np.add.reduceat((h >> np.uint64(b)) & _LANES, at, axis=1)
+        out[:, b::8] = lanes.view(np.uint8).reshape(len(h), -1, 8).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -144,16 +144,14 @@ def long_simhash(text: bytes | None, width: int) -> np.ndarray:
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=n)
-    out = np.empty((WORDS, BITS), bool)
-    for j in range(WORDS):
-        counts = np.zeros(BITS, np.int64)
-        for at in range(0, n, CHUNK):
-            x = h[at : at + CHUNK] + np.uint64(_GOLDEN * (j + 1) & 0xFFFFFFFFFFFFFFFF)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            counts += bit_counts(x ^ (x >> np.uint64(31)))
-        out[j] = 2 * counts > n
-    return np.packbits(out, axis=1, bitorder="little").view("<i8").ravel()
+    counts = np.zeros((WORDS, BITS), np.int64)
+    step = CHUNK // 16
+    for at in range(0, n, step):
+        x = h[None, at : at + step] + _STEPS[:, None]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        counts += bit_counts(x ^ (x >> np.uint64(31)))
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<i8").ravel()
 
 
 def most_bits(similarity: float) -> int:

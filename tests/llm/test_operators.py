@@ -106,7 +106,7 @@ def test_long_fingerprints_estimate_similarity():
         apart = sum(int(x).bit_count() for x in (a ^ b).view(np.uint64))
         assert abs(apart - simhash.most_bits(s)) < 70
     h = rng.integers(0, 2**63, 1000).astype(np.uint64)
-    assert simhash.bit_counts(h).tolist() == [int(((h >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
+    assert simhash.bit_counts(h[None])[0].tolist() == [int(((h >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
 
 
 def test_similar_documents_are_found_and_others_left(spark):
