@@ -16,7 +16,7 @@ from quillon.functions import responders as R
 from quillon.functions import stats as S
 from quillon.functions import text as X
 from quillon.functions import tokens as K
-from quillon.operators import choice, corpus, duplicates, equalise, eventlog, gates, markers
+from quillon.operators import choice, cores, corpus, duplicates, equalise, eventlog, gates, markers
 from quillon.plans import registry
 from quillon.sources import files, transcripts
 from quillon.streaming import logs
@@ -176,6 +176,14 @@ def test_power_anchors(spark):
     assert not one(spark, 5, equalise.reachable(F.col("c")), "int") and one(spark, 40, equalise.reachable(F.col("c")), "int")
 
 
+def test_sample_sizes(spark):
+    grid = spark.createDataFrame([(0.95, 0.70, 0.05), (0.71, 0.70, 0.05)], "p double, threshold double, alpha double")
+    got = {r.p: r.n for r in gates.fewest_n(grid, most=40).collect()}
+    assert got[0.71] is None and 20 <= got[0.95] <= 30
+    err = gates.type_one_error(spark.createDataFrame([(60, 0.7, 0.05)], "n int, threshold double, alpha double")).first().error
+    assert 0 < err <= 0.025
+
+
 def test_paired_gates(spark):
     rows = [("same", i, True, True) for i in range(40)] + [("drop", i, i < 10, True) for i in range(40)]
     df = spark.createDataFrame(rows, "g string, i int, on boolean, off boolean").withColumn("d", F.col("off").cast("int") - F.col("on").cast("int"))
@@ -322,6 +330,27 @@ def test_transcripts(spark):
     assert "&lt;t&gt;" in page and "http" not in page
 
 
+def test_cores(spark):
+    core = {
+        "schema_version": 1, "persona_id": "alfa", "nome": "Alfa", "natureza_substrato": "Um programa.", "frase_ancora": "Sigo.", "superficie_postura": {"b": "Dois.", "a": "Um."},
+        "invariantes_sob_pressao": [{"id": "i", "descricao": "", "viola_se": ["sou humano"]}], "valores_tracos": [{"id": "v_um", "nome": "Calma"}, {"id": "w", "nome": "Foco"}], "movimentos": ["ir_longe"],
+    }
+    bad = core | {"schema_version": 2, "persona_id": "Beta", "nome": "Bé", "invariantes_sob_pressao": [{"id": "i", "viola_se": ["É"]}, {"id": "i", "viola_se": []}], "valores_tracos": None}
+    df = spark.read.schema(cores.CORE).json(spark.sparkContext.parallelize([json.dumps(core), json.dumps(bad)]))
+    good = df.where("persona_id = 'alfa'")
+    assert good.select(cores.preamble().alias("x")).first().x == 'Você é Alfa. Um programa. Uma frase que te ancora: "Sigo.". Sua postura: Um. Dois. Seus valores: Calma; Foco.'
+    assert {r.text for r in cores.sources(good).collect()} >= {"sou humano"} and cores.marker_table(good).count() == 1
+    assert {(r.persona_id, r.fault) for r in cores.faults(df).collect()} == {("Beta", x) for x in ("missing:valores_tracos", "schema_version", "persona_id", "nome", "repeated:invariantes_sob_pressao", "dead_marker", "shared_movement")} | {("alfa", "shared_movement")}
+    assert cores.seal(core) == cores.seal(core | {"core_hash": "x"}) != cores.seal(bad)
+    assert cores.consistency_terms(core) == ["alfa", "calma", "foco", "ir longe", "v um", "w", "sartre", "camus"]
+    bank = spark.createDataFrame([("c1", ""), ("c1", "f"), ("c2", "g"), ("c3", "")], "cluster_id string, familia_de_cenario string")
+    spec = spark.createDataFrame([("c1", 3), ("c2", 1), ("c9", 2)], "cluster_id string, m int")
+    assert {tuple(r) for r in cores.spec_differences(bank, spec).collect()} == {("c1", "other_size"), ("c3", "only_in_bank"), ("c9", "only_in_spec")}
+    filled, wrong = cores.fill_families(bank, spark.createDataFrame([("c1", "f"), ("c2", "h")], "cluster_id string, familia string"))
+    assert sorted((r.cluster_id, r.familia_de_cenario) for r in filled.collect() if r.familia_de_cenario) == [("c1", "f"), ("c1", "f"), ("c2", "g")]
+    assert {tuple(r) for r in wrong.collect()} == {("c2", "conflict"), ("c3", "missing")}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "book.md").write_bytes("---\nobra: X: Y\n---\nCafé".encode("latin-1"))
