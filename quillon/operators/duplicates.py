@@ -83,7 +83,7 @@ def neighbours(df: DataFrame, *, id_col: str, text_col: str, cluster_col: str, s
         F.col(id_col).alias("id"), F.col(cluster_col).alias("c"), scope.alias("s"),
         F.array_distinct(X.content_tokens(text_col)).alias("w"),
     )
-    words = sets.select("id", "c", "s", F.size("w").alias("n"), F.explode("w").alias("t"))
+    words = sets.select("id", "c", "s", F.size("w").alias("n"), F.explode_outer("w").alias("t")).where("t is not null")
     other = words.select("s", "t", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"))
     both = words.join(other, ["s", "t"]).where("id <> id2")
     both = both.groupBy("id", "id2", "c", "c2", "n", "n2").agg(F.count("*").alias("i"))
