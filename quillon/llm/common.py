@@ -58,7 +58,9 @@ def with_columns(
 ) -> DataFrame:
     """``df`` with columns that ``compute`` makes from the texts of a batch (a list for each).
 
-    A narrow step: rows keep their order and partition, other columns pass through as they are."""
+    A narrow step: rows keep their order and partition, other columns pass through as they are, but
+    for those that have a name of the new ones, which are replaced."""
+    df = df.drop(*(n for n, _, _ in new if n != text_col))
     at = df.columns.index(text_col)
     names = [*df.columns, *(n for n, _, _ in new)]
 

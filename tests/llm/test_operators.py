@@ -206,6 +206,12 @@ def test_quality_edge_cases(spark):
     assert len(gam.with_score(frame(spark, ODD).select("doc_id", "text"), gam.fit(frame(spark, ODD), odd_labels)).collect()) == len(ODD)
 
 
+def test_a_column_of_the_same_name_is_replaced(spark):
+    got = gam.with_score(frame(spark, ODD), gam.AdditiveModel(0.0), out="score")
+    assert got.columns.count("score") == 1 and {r.score for r in got.collect()} == {0.5}
+    assert hyperdim.with_language(frame(spark, ODD), {}, out="lang", score="fp").columns.count("lang") == 1
+
+
 def test_additive_model_finds_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 4))
