@@ -23,7 +23,8 @@ BOILERPLATE = frozenset(("nav", "header", "footer", "aside", "form", "menu", "di
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumbs?|comments?|cookies?|"
     r"footer|header|menu|nav|navbar|navigation|newsletter|notice|popup|promo|related|reply|replies|"
-    r"share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|contentinfo|complementary|search)"
+    r"share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|contentinfo|complementary|search|"
+    r"advertising|alert|consent|discussion|disqus|gdpr|masthead|pagination|promoted|recommended|responses|teaser|topbar)"
     r"(?=$|[\s_-])", re.I)
 #: Elements within a block; all others end one.
 INLINE = frozenset(
@@ -36,6 +37,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 #: Weights before learning, and how many labelled pages a fit takes at most.
 WORD, TAG = 1.0, -2.0
@@ -59,7 +61,7 @@ def pieces(page: str) -> Iterator[tuple[str, str, bool]]:
                     del stack[at:]
             else:
                 marks = " ".join(filter(None, (x for a in ATTRIBUTE.findall(m[4]) for x in a)))
-                inner = outside or name in BOILERPLATE or bool(MARKED.search(marks))
+                inner = outside or name in BOILERPLATE or bool(MARKED.search(CAMEL.sub("-", marks)))
                 yield "tag", name, inner
                 if name not in VOID and name not in INLINE and not m[4].endswith("/"):
                     if name == "p":  # a paragraph ends where the next begins

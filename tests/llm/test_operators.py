@@ -378,6 +378,8 @@ def test_extraction_of_a_full_page():
     want = "Title & more First boldened paragraph with words. Second one <here> with many more words in it. Last words of the text."
     assert content.extract(PAGE, weights) == want
     assert content.extract("", weights) == content.extract(None, weights) == "" == content.extract("<nav><a>x</a></nav>", weights)
+    camel = '<main><p>one two three</p><div id="commentList"><p>four five six seven</p></div><div class="made"><p>eight nine</p></div></main>'
+    assert content.extract(camel, weights) == "one two three eight nine"
     assert content.extract("plain &am words &amp", weights) == "plain &am words &"
 
 
