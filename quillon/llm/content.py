@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import as_bytes, table, with_columns
+from quillon.llm.common import as_bytes, bounded_sample, table, with_columns
 
 #: Elements whose content is never text of a page.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object")
@@ -152,7 +152,7 @@ def fit(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sa
         yield pa.RecordBatch.from_arrays(cols, names=["tag", "inside", "n"])
 
     known = pages.where(F.contains(html_col, F.lit("<article"))).select(id_col)
-    ids = known.distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_pages)
+    ids = bounded_sample(known.distinct(), id_col, sample_pages)
     known = pages.join(F.broadcast(ids), id_col).select(html_col)
     made = known.mapInArrow(counted, "tag string, inside boolean, n long").where("length(tag) <= 20")
     rows = made.groupBy("tag").agg(F.sum(F.expr("if(inside, n, 0)")).alias("a"), F.sum(F.expr("if(inside, 0, n)")).alias("b"))

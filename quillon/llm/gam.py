@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import fold, table, with_columns
+from quillon.llm.common import bounded_sample, fold, table, with_columns
 
 FEATURES = (
     "log_words", "word_bytes", "upper", "digits", "marks", "bangs", "bars", "stops", "commas",
@@ -178,7 +178,7 @@ def fit(
     """
     known = labels.where(F.col(label_col).isin(0, 1) & (fold(F.col(id_col), folds) != 0))
     known = known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    known = known.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
+    known = bounded_sample(known, id_col, sample_rows)
     docs = docs.select(id_col, text_col).join(F.broadcast(known), id_col)
     made = with_columns(
         docs, text_col, [("x", T.ArrayType(T.DoubleType()), pa.list_(pa.float64()))], _features
