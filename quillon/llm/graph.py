@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import discard, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -21,23 +21,25 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select("u", "v").distinct(), "links")
     labels = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     labels = labels.select("node", F.col("node").alias("root"))
-    edges = edges.where("u <> v")
-    while not edges.isEmpty():
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p"))
-        parent = materialize(parent, "parents")
+    while not edges.where("u <> v").isEmpty():
+        open_ = edges.where("u <> v")
+        both = open_.union(open_.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hooked = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p"))
+        hooked = parent = materialize(hooked, "parents")
         for _ in range(2):
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
             parent = parent.join(up, "p").select("u", F.col("pp").alias("p"))
         parent = materialize(parent, "parents")
         to_root = parent.select(F.col("u").alias("root"), F.col("p").alias("next"))
-        labels = labels.join(to_root, "root", "left").select(
+        new_labels = labels.join(to_root, "root", "left").select(
             "node", F.coalesce("next", "root").alias("root")
         )
-        labels = materialize(labels, "labels")
+        new_labels = materialize(new_labels, "labels")
         left = parent.select("u", F.col("p").alias("pu"))
         right = parent.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        edges = edges.join(left, "u").join(right, "v").where("pu <> pv")
-        edges = edges.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
-        edges = materialize(edges.distinct(), "links")
+        new_edges = open_.join(left, "u").join(right, "v").where("pu <> pv")
+        new_edges = new_edges.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
+        new_edges = materialize(new_edges.distinct(), "links")
+        discard(labels, edges, hooked, parent)
+        labels, edges = new_labels, new_edges
     return labels

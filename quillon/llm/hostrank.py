@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, table
+from quillon.llm.common import discard, materialize, table
 
 #: (verdict, rule): a rule is a host and the start of a path.
 RULES = (
@@ -66,6 +66,7 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         new = materialize(new, "rank")
         old = rank.select("host", F.col("score").alias("old"))
         change = new.join(old, "host").agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
+        discard(rank)
         rank = new
         if change is None or change < TOLERANCE:
             break
