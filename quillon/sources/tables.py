@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables whose rows are long texts: work on them is bound by CPU, not by reading.
+TEXTS = frozenset(("documents", "pages"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that comes in fewer pieces than there are cores is dealt out to them. A
+    large table has more pieces than that and is read where it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
