@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import field, materialize, table
+from quillon.llm.common import discard, field, materialize, table
 from quillon.llm.graph import connected_components
 
 BITS = 64
@@ -161,16 +161,40 @@ def most_bits(similarity: float) -> int:
     return int(WORDS * BITS * np.arccos(cosine) / np.pi)
 
 
+def linked_classes(keyed: DataFrame, near: Callable[[DataFrame], DataFrame], may: Column | None = None) -> DataFrame:
+    """``(node, root)`` of the classes ``c`` that hang together by the pairs of one ``key`` that ``near``
+    confirms, a filter of distinct pairs ``(c, d)``.
+
+    Every class is first held against the smallest of its key, so a large group of close classes becomes
+    one component at a comparison a member. Then all pairs of a key that still lie in two components
+    are confirmed: no pair is left out but those that can't change a component. ``may``: a condition
+    on the pair's rows ``a`` and ``b`` that is true of one row of every near pair, part of the join."""
+    ends = keyed.groupBy("key").agg(F.min("c").alias("d"), F.max("c").alias("last"))
+    pivots = materialize(ends.where("d <> last").select("key", "d"), "pivots")
+    shared = materialize(keyed.join(pivots, "key"), "shared")
+    first = materialize(near(materialize(shared.where("c <> d").select("c", "d").distinct(), "pairs")), "near")
+    roots = connected_components(first.select(F.least("c", "d").alias("u"), F.greatest("c", "d").alias("v")))
+    of = shared.drop("d").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    ends = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rows = materialize(of.join(ends, "key", "left_semi"), "open")
+    on = F.expr("a.key = b.key AND a.c < b.c AND a.root <> b.root")
+    a, b = rows.alias("a"), rows.alias("b").hint("merge")
+    pairs = a.join(b, on if may is None else on & may).select(F.col("a.c").alias("c"), F.col("b.c").alias("d")).distinct()
+    more = near(materialize(pairs, "pairs"))
+    links = first.unionByName(more).select(F.least("c", "d").alias("u"), F.greatest("c", "d").alias("v"))
+    roots = connected_components(links)
+    discard(pivots, shared, rows)
+    return roots
+
+
 def similar_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """``(id_col, component_id)``, a row for each row of ``docs``: documents whose ``width``-word shingles are
     as similar as this, by SimHash of WORDS * BITS bits, and all that hang together by them.
 
-    Equal fingerprints are one class. Classes that agree on a block meet; in each block's group every
-    class is held against the smallest only, so a group of any size costs one comparison a member
-    and no pairs of it are emitted: copies of one text are joined through it, in one of many blocks.
-    The Hamming distance of the whole fingerprints decides. Pairs at 0.9 share a block with 99 %, at
+    Equal fingerprints are one class. All classes that agree on a block are compared (:func:`linked_classes`),
+    and the Hamming distance of the whole fingerprints decides. Pairs at 0.9 share a block with 99 %, at
     0.8 with 72 %. Null and wordless texts are one class; null ids and repeats as in
     :func:`near_duplicates`.
     """
@@ -187,15 +211,16 @@ def similar_documents(
     found = docs.select(id_col, F.col(text_col).cast("binary")).mapInArrow(hashed, schema)
     found = materialize(found.withColumn("c", F.xxhash64("fps")), "long-fingerprints")
     classes = materialize(found.groupBy("c").agg(F.first("fps").alias("fps"), F.min(id_col).alias("first")), "classes")
-    blocks = F.array(*(_block(i * BLOCK) for i in range(WORDS * BITS // BLOCK)))
-    keyed = classes.select("c", F.posexplode(blocks).alias("t", "key"))
-    pivots = materialize(keyed.groupBy("t", "key").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").drop("q"), "pivots")
-    pairs = keyed.join(pivots, ["t", "key"]).where("c <> p").select("c", "p").distinct()
-    a = classes.select("c", F.col("fps").alias("x"))
-    b = classes.select(F.col("c").alias("p"), F.col("fps").alias("y"))
+    blocks = F.array(*(_block(i * BLOCK).bitwiseOR(F.lit(i << BLOCK)) for i in range(WORDS * BITS // BLOCK)))
+    keyed = classes.select("c", F.explode(blocks).alias("key"))
     apart = sum((F.bit_count(F.get("x", F.lit(j)).bitwiseXOR(F.get("y", F.lit(j)))) for j in range(WORDS)), F.lit(0))
-    links = materialize(pairs, "pairs").join(a, "c").join(b, "p").where(apart <= most_bits(similarity))
-    roots = connected_components(links.select(F.least("c", "p").alias("u"), F.greatest("c", "p").alias("v")))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        a = classes.select("c", F.col("fps").alias("x"))
+        b = classes.select(F.col("c").alias("d"), F.col("fps").alias("y"))
+        return pairs.join(a, "c").join(b, "d").where(apart <= most_bits(similarity)).select("c", "d")
+
+    roots = linked_classes(keyed, near)
     linked = classes.select("c", "first").join(roots.select(F.col("node").alias("c"), "root"), "c")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = linked.join(least, "root").select("c", "component_id")

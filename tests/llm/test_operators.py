@@ -129,6 +129,14 @@ def test_similar_documents_are_found_and_others_left(spark):
     assert simhash.similar_documents(frame(spark, [])).count() == 0
 
 
+def test_no_pair_of_a_group_is_left_out(spark):
+    rows = [(7, c) for c in range(8)] + [(8, 6), (8, 20), (9, 30)]
+    close = {(2, 5), (3, 5), (0, 1), (1, 6), (6, 20)}
+    near = lambda pairs: pairs.where(" OR ".join(f"least(c, d) = {u} AND greatest(c, d) = {v}" for u, v in close))
+    got = simhash.linked_classes(spark.createDataFrame(rows, "key long, c long"), near).collect()
+    assert {(r.node, r.root) for r in got} == {(2, 2), (3, 2), (5, 2), (0, 0), (1, 0), (6, 0), (20, 0)}
+
+
 # --- winnowing -------------------------------------------------------------------------------------
 
 
