@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -117,9 +118,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near copies by similarity ---------------------------------------------------------------------
 
-#: Bits of the long fingerprint, as 64-bit words, and of a block: pairs that differ in a bit with
-#: probability r share a block with (1 - r) ** BLOCK, and there are WORDS * BITS // BLOCK of them.
-WORDS, BLOCK = 24, 24
+#: Distinct texts whose shingles are counted to order them, how often a common one occurs among them, and
+#: how many are kept.
+SAMPLE_TEXTS, COMMON, COMMON_MOST = 10_000, 3, 200_000
+#: Bits of the long fingerprint, as 64-bit words.
+WORDS = 24
 _LANES = np.uint64(0x0101010101010101)
 _STEPS = np.array([0x9E3779B97F4A7C15 * (j + 1) & 0xFFFFFFFFFFFFFFFF for j in range(WORDS)], np.uint64)
 
@@ -187,51 +190,119 @@ def linked_classes(keyed: DataFrame, near: Callable[[DataFrame], DataFrame], may
     return roots
 
 
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """The distinct hashes of ``width``-word shingles (all words if there are fewer), in order."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    n, digest = max(1, len(words) - width + 1), xxhash.xxh64_intdigest
+    grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if n > 1 else (b" ".join(words),)
+    return np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=n))
+
+
+def set_class(h: np.ndarray) -> int:
+    """One signed number for a set of shingles."""
+    c = xxhash.xxh64_intdigest(h.tobytes(), SEED)
+    return c - (1 << BITS) if c >> (BITS - 1) else c
+
+
+def shingle_prefix(h: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first ``size - ceil(similarity size) + 1`` shingles in an order that is the same for all texts:
+    by hash, and after all others those of ``common`` (sorted) by their rank."""
+    n = len(h)
+    keep = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    if not len(common):
+        return h[:keep]
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    hot = common[at] == h
+    cold = h[~hot][:keep]
+    if len(cold) == keep:
+        return cold
+    return np.concatenate([cold, h[hot][np.argsort(rank[at[hot]])]])[:keep]
+
+
+def common_shingles(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of distinct texts has COMMON times or more, sorted, and their ranks from the
+    rarest. They only set the order of :func:`shingle_prefix`, so a sample and a bound lose nothing."""
+    most = min(1.0, SAMPLE_TEXTS / max(1, docs.count()))
+    texts = docs.select(F.col(text_col).cast("binary").alias("t"))
+    texts = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(most * (1 << 30))).distinct()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [shingles(t.as_py(), width) for t in b.column(0)]
+            flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["h"])
+
+    counts = texts.mapInArrow(listed, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON_MOST).toArrow()
+    h = rows["h"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.arange(len(h), 0, -1)[order].astype(np.int32)
+
+
 def similar_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """``(id_col, component_id)``, a row for each row of ``docs``: documents whose ``width``-word shingles are
-    as similar as this, by SimHash of WORDS * BITS bits, and all that hang together by them.
-
-    Equal fingerprints are one class. All classes that agree on a block are compared (:func:`linked_classes`),
-    and the Hamming distance of the whole fingerprints decides. Pairs at 0.9 share a block with 99 %, at
-    0.8 with 72 %. Null and wordless texts are one class; null ids and repeats as in
-    :func:`near_duplicates`.
+    """``(id_col, component_id)``, a row for each row of ``docs``: documents whose sets of ``width``-word
+    shingles have this Jaccard similarity or more, and all that hang together by them. Exact.
+
+    Equal sets are one class. Two sets this similar share one of the first ``size - ceil(similarity
+    size) + 1`` shingles of each, in any order common to all texts, so the classes that share one are
+    compared (:func:`linked_classes`) and the similarity of the whole sets decides. Shingles known to
+    be common come last in that order, which keeps groups small; the places of the first shared
+    shingle rule out most other pairs within the join. Sets are hashed again for those compared only.
+    Null and wordless texts are one class; null ids and repeats as in :func:`near_duplicates`.
     """
+    common, rank = common_shingles(docs, text_col, width)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int64())
         for b in batches:
-            fps = [long_simhash(t.as_py(), width) for t in b.column(1)]
-            flat = pa.array(np.concatenate(fps) if fps else np.empty(0, np.int64), pa.int64())
-            ends = pa.array(np.arange(0, len(flat) + 1, WORDS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, flat).cast(kind)], names=[id_col, "fps"])
-
-    schema = T.StructType([field(docs, id_col), T.StructField("fps", T.ArrayType(T.LongType()))])
-    found = docs.select(id_col, F.col(text_col).cast("binary")).mapInArrow(hashed, schema)
-    found = materialize(found.withColumn("c", F.xxhash64("fps")), "long-fingerprints")
-    classes = materialize(found.groupBy("c").agg(F.first("fps").alias("fps"), F.min(id_col).alias("first")), "classes")
-    blocks = F.array(*(_block(i * BLOCK).bitwiseOR(F.lit(i << BLOCK)) for i in range(WORDS * BITS // BLOCK)))
-    keyed = classes.select("c", F.explode(blocks).alias("key"))
-    apart = sum((F.bit_count(F.get("x", F.lit(j)).bitwiseXOR(F.get("y", F.lit(j)))) for j in range(WORDS)), F.lit(0))
+            sets = [shingles(t.as_py(), width) for t in b.column(1)]
+            p = [shingle_prefix(h, common, rank, similarity) for h in sets]
+            ends = np.cumsum([0, *map(len, p)]).astype(np.int32)
+            flat = np.concatenate(p).view(np.int64) if p else np.empty(0, np.int64)
+            cols = [pa.array([set_class(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32())]
+            cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[id_col, "c", "n", "first_shingles"])
+
+    spec = [T.StructField("c", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("first_shingles", T.ArrayType(T.LongType()))]
+    texts = docs.select(id_col, F.col(text_col).cast("binary").alias("t"))
+    found = materialize(texts.mapInArrow(hashed, T.StructType([field(docs, id_col), *spec])), "shingles")
+    classes = found.groupBy("c").agg(F.first("n").alias("n"), F.first("first_shingles").alias("p"), F.min(id_col).alias("first"))
+    classes = materialize(classes, "classes")
+    keyed = classes.select("c", "n", F.posexplode("p").alias("i", "key"))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py(), width) for t in b.column(0)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            cols = [pa.array([set_class(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(cols, names=["c", "h"])
 
     def near(pairs: DataFrame) -> DataFrame:
-        a = classes.select("c", F.col("fps").alias("x"))
-        b = classes.select(F.col("c").alias("d"), F.col("fps").alias("y"))
-        return pairs.join(a, "c").join(b, "d").where(apart <= most_bits(similarity)).select("c", "d")
-
-    roots = linked_classes(keyed, near)
+        size = classes.select("c", "n")
+        pairs = pairs.join(size, "c").join(size.select(F.col("c").alias("d"), F.col("n").alias("m")), "d")
+        pairs = materialize(pairs.where(F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - 1e-6), "sized")
+        wanted = pairs.select("c").union(pairs.select("d")).distinct()
+        ids = classes.join(wanted, "c", "left_semi").select(F.col("first").alias("wanted_id")).distinct()
+        sets = texts.join(ids, F.col(id_col).eqNullSafe(F.col("wanted_id")), "left_semi").select("t").mapInArrow(again, "c long, h array<long>")
+        sets = materialize(sets.join(wanted, "c", "left_semi").groupBy("c").agg(F.first("h").alias("x")), "sets")
+        both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("d"), F.col("x").alias("y")), "d")
+        shared = F.size(F.array_intersect("x", "y"))
+        out = materialize(both.where(shared * (1 + similarity) >= (F.col("n") + F.col("m")) * similarity - 1e-6).select("c", "d"), "near")
+        discard(pairs, sets)
+        return out
+
+    share = similarity / (1 + similarity)
+    may = F.expr(
+        f"least(a.n, b.n) >= greatest(a.n, b.n) * {similarity} - 1e-6 "
+        f"AND least(a.n - a.i, b.n - b.i) >= (a.n + b.n) * {share} - 1e-6"
+    )
+    roots = linked_classes(keyed, near, may)
     linked = classes.select("c", "first").join(roots.select(F.col("node").alias("c"), "root"), "c")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = linked.join(least, "root").select("c", "component_id")
     named = classes.select("c", "first").join(linked, "c", "left").select("c", F.coalesce("component_id", "first").alias("component_id"))
     return found.select(id_col, "c").join(materialize(named, "named"), "c").select(id_col, "component_id")
-
-
-def _block(bit: int):  # noqa: ANN202
-    """BLOCK bits of column ``fps`` from this bit on; a block may reach into the next word."""
-    at, off = divmod(bit, BITS)
-    low = F.shiftrightunsigned(F.get("fps", F.lit(at)), off)
-    if off + BLOCK > BITS:
-        low = low.bitwiseOR(F.shiftleft(F.get("fps", F.lit(at + 1)), BITS - off))
-    return low.bitwiseAND(F.lit((1 << BLOCK) - 1))

@@ -137,6 +137,28 @@ def test_no_pair_of_a_group_is_left_out(spark):
     assert {(r.node, r.root) for r in got} == {(2, 2), (3, 2), (5, 2), (0, 0), (1, 0), (6, 0), (20, 0)}
 
 
+def test_similar_documents_equal_brute_force_near_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    template, docs = [f"t{i}" for i in range(330)], []
+    for g in range(150):  # mutual similarity about 0.7; each has a partner at 0.77 to 0.86
+        w = template + [f"o{g}x{i}" for i in range(70)]
+        docs.append((2 * g, " ".join(w)))
+        for k in rng.choice(390, 6 + g % 5, replace=False):
+            w[k] = f"new{g}"
+        docs.append((2 * g + 1, " ".join(w)))
+    docs += [(400, "a b c d e f g h"), (401, "a b c d e f g h" + " z z z z z z z" * 50)]  # repeats count once
+    docs += [(402, docs[0][1] + " the same line once more" * 60)]
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, t in docs for w in [t.split()]]
+    root = {i: i for i, _ in docs}
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if 10 * len(a & b) >= 8 * len(a | b) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, docs)).collect()}
+    assert got == root and root[402] == root[0] and len(set(root.values())) > 50
+
+
 # --- winnowing -------------------------------------------------------------------------------------
 
 
