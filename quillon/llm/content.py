@@ -104,18 +104,30 @@ def text_of(items: Iterable[tuple[str, str, bool]]) -> str:
     return " ".join(b for b in clean if b)
 
 
+def elements(items: list[tuple[str, str, bool]], name: str) -> list[tuple[int, int]]:
+    """Where each element of this name begins and ends, by depth; one left open ends with the items."""
+    opened, found = [], []
+    for i, (kind, value, outside) in enumerate(items):
+        if kind == "tag" and value == name:
+            opened.append((i, outside))
+        elif kind == "tag" and value == f"/{name}" and opened:
+            at, out = opened.pop()
+            if not out:
+                found.append((at, i))
+    return found + [(at, len(items)) for at, out in opened if not out]
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of a page; empty if there is none."""
     items = list(pieces(page)) if page else []
     start, end = region(items, weights)
     # A heading may stand before the run, or a closing line behind it, for want of words: the
     # run is carried on to the borders of the article that holds it, if the page names one.
-    marks = ("article", "main")
-    for name in marks:
-        opens = [i for i in range(start, -1, -1) if i < len(items) and items[i][:2] == ("tag", name)]
-        if opens and not any(items[i][:2] == ("tag", f"/{name}") for i in range(opens[0], min(start, len(items)))):
-            close = next((i for i in range(max(start, opens[0]), len(items)) if items[i][:2] == ("tag", f"/{name}")), len(items))
-            start, end = opens[0], max(end, close) if close == len(items) else close
+    # Each opening belongs to its own close, and elements that the run touches only ever widen it.
+    for name in ("article", "main"):
+        touched = [(a, z) for a, z in elements(items, name) if a < end and z > start]
+        if start < end and touched:
+            start, end = min(start, *(a for a, _ in touched)), max(end, *(z for _, z in touched))
             break
     return text_of(items[start:end])
 

@@ -413,6 +413,16 @@ def test_extraction_of_a_full_page():
     assert content.extract("plain &am words &amp", weights) == "plain &am words &"
 
 
+def test_extraction_of_nested_and_sibling_articles():
+    weights, say = {"word": 1.0, "tag": -2.0}, lambda w: " ".join([w] * 12)
+    page = f"<article><h1>Head</h1><p>{say('a')}</p><article><p>{say('b')}</p></article><p>{say('c')}</p><p>end</p></article><p>x</p>"
+    assert content.extract(page, weights) == f"Head {say('a')} {say('b')} {say('c')} end"
+    page = f"<article><p>{say('a')}</p></article><article><p>{say('b')}</p></article><article><p>{say('c')}</p><p>end</p></article>"
+    assert content.extract(page, weights) == f"{say('a')} {say('b')} {say('c')} end"
+    page = f"<article><p>one</p><article><p>two</p></article><p>{say('c')}</p>"
+    assert content.extract(page, weights) == f"one two {say('c')}"
+
+
 def test_extraction_query_equals_sql_and_generator(spark):
     rows = queries.QUERIES["op8_html_extraction"](spark, SF).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
