@@ -46,28 +46,49 @@ SAMPLE_PAGES = 2_000
 
 def pieces(page: str) -> Iterator[tuple[str, str, bool]]:
     """``(kind, value, outside)`` in page order: a text piece, or a tag as its name with a leading
-    slash if it closes. ``outside``: it lies in an element that holds no part of an article."""
-    stack: list[tuple[str, bool]] = []
+    slash if it closes. ``outside``: it lies in an element that holds no part of an article.
+
+    Marks of html and body don't count, and of article and main only a whole word of the class. Nor
+    do those of an element with over half of the page's words, unless an article stands beside it."""
+    stack: list[tuple[str, bool, tuple[int, ...]]] = []
+    found: list[tuple[str, str, bool, tuple[int, ...]]] = []
+    words, total, named, marked = Counter(), 0, [], 0
     for m in TOKEN.finditer(page):
-        outside = bool(stack) and stack[-1][1]
+        _, outside, inside = stack[-1] if stack else ("", False, ())
         if m[5] is not None:
-            yield "text", m[5], outside
+            found.append(("text", m[5], outside, inside))
+            if not outside:
+                n = len(m[5].split())
+                total += n
+                for k in inside:
+                    words[k] += n
         elif m[3]:
             name = m[3].lower()
             if m[2]:
                 at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                yield "tag", f"/{name}", outside
+                found.append(("tag", f"/{name}", outside, inside))
                 if at is not None and name not in INLINE:
                     del stack[at:]
             else:
                 marks = " ".join(filter(None, (x for a in ATTRIBUTE.findall(m[4]) for x in a)))
-                inner = outside or name in BOILERPLATE or bool(MARKED.search(CAMEL.sub("-", marks)))
-                yield "tag", name, inner
+                hard, within = outside or name in BOILERPLATE, inside
+                if name in ("article", "main"):
+                    mark = any(MARKED.fullmatch(x) for x in marks.split())
+                else:
+                    mark = name not in ("html", "body") and MARKED.search(CAMEL.sub("-", marks))
+                if mark:
+                    within, marked = (*inside, marked), marked + 1
+                if name in ("article", "main") and not hard:
+                    named.append(within)
+                found.append(("tag", name, hard, within))
                 if name not in VOID and name not in INLINE and not m[4].endswith("/"):
                     if name == "p":  # a paragraph ends where the next begins
                         while stack and stack[-1][0] == "p":
                             stack.pop()
-                    stack.append((name, inner if name != "p" else outside))
+                    stack.append((name, hard, within) if name != "p" else (name, outside, inside))
+    wide = {k for k, n in words.items() if 2 * n > total and all(k in x for x in named)}
+    for kind, value, hard, inside in found:
+        yield kind, value, hard or not wide.issuperset(inside)
 
 
 def region(items: list[tuple[str, str, bool]], weights: dict[str, float]) -> tuple[int, int]:

@@ -423,6 +423,15 @@ def test_extraction_of_nested_and_sibling_articles():
     assert content.extract(page, weights) == f"one two {say('c')}"
 
 
+def test_extraction_inside_marked_wrappers():
+    weights, text = {"word": 1.0, "tag": -2.0}, " ".join(["word"] * 20)
+    for tag in ('body class="layout has-sidebar"', "body class=no-sidebar", 'div class="with-menu"', 'main id="search-results"', 'article class="post comments-open"'):
+        page = f'<{tag}><div class="sidebar"><p>aside from it</p></div><p>{text}</p></{tag.split()[0]}>'
+        assert content.extract(page, weights) == text, tag
+    page = f'<article><p>{text}</p></article><section id="comments"><p>{text} {text} {text}</p></section>'
+    assert content.extract(page, weights) == text
+
+
 def test_extraction_query_equals_sql_and_generator(spark):
     rows = queries.QUERIES["op8_html_extraction"](spark, SF).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
