@@ -33,7 +33,8 @@ def first_by_prefix(df: DataFrame, source_col: str, text_col: str, order_col: st
 
 def _sets(df: DataFrame, id_col: str, text_col: str, group_col: str) -> DataFrame:
     words = F.array_distinct(X.content_tokens(text_col))
-    return df.select(F.col(id_col).alias("id"), F.col(group_col).alias("g"), words.alias("w"))
+    # As a structure, null groups are equal in joins too.
+    return df.select(F.col(id_col).alias("id"), F.struct(F.col(group_col)).alias("g"), words.alias("w"))
 
 
 def similar_pairs(

@@ -123,6 +123,12 @@ def jaccard_near_pairs(spark: SparkSession, d: str) -> DataFrame:
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def jaccard_set_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The membership beside :func:`jaccard_near_pairs`: each document and the one that stands for its set."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return duplicates.set_classes(docs, id_col="doc_id", text_col="text", group_col="source")
+
+
 def nearest_neighbour_jaccard(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").where("role = 'user'")
     turns = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "text")
@@ -190,7 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         norm_text, text_measures, parse_choice, leak_ngram_hits, leak_by_source_rollup, declared_window_exempt, longest_leak,
-        dup_exact_norm, dup_cross_table, dup_across_roles, prefix80_dedup, jaccard_near_pairs, nearest_neighbour_jaccard,
+        dup_exact_norm, dup_cross_table, dup_across_roles, prefix80_dedup, jaccard_near_pairs, jaccard_set_classes, nearest_neighbour_jaccard,
         copy_6gram_pairs, template_share, name_scrub, html_network_refs, front_matter_map, envelope_strip, cited_quantities,
     )
 }

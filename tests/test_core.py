@@ -415,6 +415,15 @@ def test_similar_pairs_are_complete(spark):
     assert all(classes[i] == first[s] for i, s in sets.items())
 
 
+def test_similar_pairs_of_null_groups_and_membership(spark, tmp_path):
+    rows = [(1, None, "red fox jumps high"), (2, None, "high jumps fox red"), (3, None, "red fox jumps high today"), (4, "s", "red fox jumps high")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = registry.QUERIES["jaccard_near_pairs"](spark, str(tmp_path)).collect()
+    assert [(r.a, r.b, r.similarity) for r in pairs] == [(1, 3, 0.8)]
+    classes = registry.QUERIES["jaccard_set_classes"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.class_id) for r in classes} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+
+
 def test_every_query_runs_and_sql_names_match(spark):
     import duckdb
 
