@@ -15,71 +15,65 @@ GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
 #: Words kept on either side of a matched k-gram, for extending it.
 REACH = WINDOW - 1
-#: A k-gram hash loses its low bits, where a window keeps the offset of its minimum.
-OFFSET_BITS = 7
-#: Benchmark fingerprints up to this many (some 200 bytes each) are broadcast; else Spark joins.
+#: Benchmark fingerprints up to this many (some 200 bytes each) are broadcast; beyond, documents are
+#: first cut down to those that share a fingerprint.
 BROADCAST_ROWS = 200_000
+#: Letters that lower() may change beside A-Z; code points that Java doesn't know count too.
+OTHER_UPPER = r"[\P{ASCII}&&[\p{javaUpperCase}\p{javaTitleCase}\p{Cn}]]"
 
 
 def word_hashes(text: Column) -> Column:
-    """The 64-bit hashes of a text's words, in order; none for null."""
-    ascii_only = lambda w: F.octet_length(w) == F.length(w)
-    lower = lambda w: F.when(ascii_only(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
-    parts = F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
-    return F.transform(parts, lambda w: F.xxhash64(lower(w)))
-
-
-def _gram(start: Column, n: int) -> Column:
-    return F.xxhash64(*(F.get("h", start + j) for j in range(n)))
-
-
-def _window(start: Column) -> Column:
-    """The smallest k-gram hash of a window, with its offset in the low bits."""
-    grams = (_gram(start + j, GRAM).bitwiseAND(F.lit(~OFFSET_BITS)) for j in range(WINDOW))
-    return F.least(*(g.bitwiseOR(F.lit(j)) for j, g in enumerate(grams)))
-
-
-def _fingerprints(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df(*keys, h)``, h the word hashes, to ``(*keys, n, p, len, fp, ctx)``: for each row a head
-    row with p = -1, and one for each position p whose k-gram is the minimum of a window; ctx has
-    the word hashes from REACH words before the k-gram to as many behind it. Windows that choose
-    the same position repeat its row, which costs less than looking back would. Positions are
-    exploded as numbers beside the array, so that all hashing runs in generated code, and no array
-    is copied to a row unless the row is kept."""
-    df = df.select(*keys, "h", F.size("h").alias("n"))
-    last = F.greatest(F.col("n") - SPAN, F.lit(-1))
-    df = df.select(*keys, "h", "n", F.explode(F.sequence(F.lit(-1), last)).alias("i"))
-    i = F.col("i")
-    offset = lambda v: v.bitwiseAND(F.lit(OFFSET_BITS)).cast("int")
-    df = df.select(*keys, "h", "n", "i", _window(i).alias("v"))
-    p = F.when(i < 0, F.lit(-1)).otherwise(i + offset(F.col("v")))
-    df = df.select(*keys, "h", "n", "v", p.alias("p"))
-    around = F.array(*(F.get("h", F.col("p") + j) for j in range(-REACH, GRAM + REACH)))
-    fp = F.col("v").bitwiseAND(F.lit(~OFFSET_BITS))
-    return df.select(
-        *keys, "n", "p", F.lit(0).alias("len"),
-        F.when(F.col("p") >= 0, fp).alias("fp"), F.when(F.col("p") >= 0, around).alias("ctx"),
-    )
+    """The 64-bit hashes of a text's words, in order; none for null. A-Z are lower-cased in the whole
+    text at once: by lower() where that changes nothing else, which is faster than translate()."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.when(text.rlike(OTHER_UPPER), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    return F.transform(F.array_remove(F.split(low, GAP), ""), lambda w: F.xxhash64(w))
+
+
+def _grams(words: int, *salt: Column) -> Column:
+    """The hash of the run of ``words`` words that begins at each word; cut short at the end."""
+    return F.transform("h", lambda x, i: F.xxhash64(*salt, x, *(F.get("h", i + j) for j in range(1, words))))
+
+
+def _fingerprints(df: DataFrame, keys: list[str], short: list[int]) -> DataFrame:
+    """``df(*keys, h)``, h the word hashes, to ``(*keys, h, g, n, i, len, p, fp)``: for each row a head
+    row with i = -1, then one for each window, with the smallest k-gram hash in it (len 0), then one
+    for each run of ``len`` words that begins at p, for every ``len`` of ``short``.
+
+    Every word and k-gram is hashed once, into the arrays h and g; windows are exploded as numbers
+    beside them, and the minimum over a window is a few reads in generated code, small enough to be
+    compiled. Nothing copies an array to a row unless the row is kept."""
+    runs = F.concat(*(_grams(m, F.lit(m)) for m in short)) if short else F.lit(None).cast("array<bigint>")
+    df = df.select(*keys, "h", _grams(GRAM).alias("g"), runs.alias("r"), F.size("h").alias("n"))
+    df = df.withColumn("last", F.greatest(F.col("n") - SPAN, F.lit(-1)))
+    df = df.select("*", F.explode(F.sequence(F.lit(-1), F.col("last") + F.col("n") * len(short))).alias("i"))
+    i, window = F.col("i"), F.col("i") <= F.col("last")
+    at = i - F.col("last") - 1
+    fp = F.when(window, F.when(i >= 0, F.least(*(F.get("g", i + j) for j in range(WINDOW)))))
+    size, p = F.lit(0), F.lit(0)
+    if short:
+        fp = fp.otherwise(F.get("r", at))
+        size = F.when(window, 0).otherwise(F.get(F.array(*map(F.lit, short)), F.floor(at / F.col("n")).cast("int")))
+        p = F.when(window, 0).otherwise(at % F.col("n"))
+    df = df.select(*keys, "h", "g", "n", "i", size.alias("len"), p.alias("p"), fp.alias("fp"))
+    return df.where("p + len <= n or i < 0") if short else df
 
 
-def _runs(df: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
-    """As :func:`_fingerprints`, but every run of ``len`` words for each of ``sizes``; no head."""
-    df = df.select(*keys, "h", F.size("h").alias("n"))
-    df = df.select(*keys, "h", "n", F.explode(F.array(*map(F.lit, sizes))).alias("len"))
-    df = df.where("n >= len")
-    df = df.select(*keys, "h", "n", "len", F.explode(F.expr("sequence(0, n - len)")).alias("p"))
-    fp = F.lit(None).cast("long")
-    for size in sizes:
-        fp = F.when(F.col("len") == size, _gram(F.col("p"), size)).otherwise(fp)
-    return df.select(*keys, "n", "p", "len", fp.alias("fp"), F.lit(None).cast("array<bigint>").alias("ctx"))
+def _placed(df: DataFrame) -> DataFrame:
+    """Windows with the place p of their smallest k-gram, and ctx, the word hashes from REACH words
+    before it to as many behind it."""
+    window = (F.col("i") >= 0) & (F.col("len") == 0)
+    p = F.col("i") + F.array_position(F.slice("g", F.col("i") + 1, WINDOW), F.col("fp")).cast("int") - 1
+    df = df.withColumn("p", F.when(window, p).otherwise(F.col("p")))
+    steps = F.sequence(F.lit(-REACH), F.lit(GRAM + REACH - 1))
+    around = F.transform(steps, lambda j: F.get("h", F.col("p") + j))
+    return df.withColumn("ctx", F.when(window, around)).drop("h", "g")
 
 
-def _run(same: list[Column]) -> Column:
-    """How many of these hold before the first that doesn't."""
-    out = F.lit(len(same))
-    for i in reversed(range(len(same))):
-        out = F.when(same[i], out).otherwise(F.lit(i))
-    return out
+def _run(same: Column, size: int) -> Column:
+    """How many of these ``size`` hold before the first that doesn't."""
+    at = F.array_position(same, F.lit(False))
+    return F.when(at > 0, at - 1).otherwise(F.lit(size)).cast("int")
 
 
 def find_hits(
@@ -108,36 +102,42 @@ def find_hits(
     i = materialize(i.distinct(), "items")
     sizes = i.where(F.size("h").between(1, SPAN - 1)).select(F.size("h").alias("n")).distinct()
     short = sorted(r.n for r in sizes.collect())
-    marks = _fingerprints(i, ["item"]).where("p >= 0")
-    if short:
-        marks = marks.union(_runs(i, ["item"], short).where("n = len"))
-    marks = marks.select("item", F.col("len").alias("ilen"), F.col("fp").alias("ifp"), F.col("ctx").alias("ictx"))
+    marks = _fingerprints(i, ["item"], short).where("i >= 0 and (len = 0 or len = n)")
+    marks = _placed(marks).select("item", F.col("len").alias("ilen"), F.col("fp").alias("ifp"), F.col("ctx").alias("ictx"))
     marks = materialize(marks.distinct(), "item-fingerprints")
-    if marks.count() <= BROADCAST_ROWS:
-        marks = F.broadcast(marks)
 
     keys = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k")]
     words = docs.select(*keys, word_hashes(F.col(text_col)).alias("h"))
-    d = _fingerprints(words, ["id", "k"])
-    if short:
-        d = d.union(_runs(words, ["id", "k"], short))
-    d = d.join(marks, (d.fp == F.col("ifp")) & (d.len == F.col("ilen")), "left")
-    d = d.where("p = -1 or item is not null")
-    same = [F.coalesce(F.get("ctx", F.lit(j)) == F.get("ictx", F.lit(j)), F.lit(False)) for j in range(GRAM + 2 * REACH)]
-    left = _run([same[REACH - 1 - j] for j in range(REACH)])
-    right = _run(same[REACH:])
-    hit = F.when(F.col("p") < 0, F.lit(None)).when(
+    d = _fingerprints(words, ["id", "k"], short)
+    match = F.col("fp") == F.col("ifp")
+    if marks.count() <= BROADCAST_ROWS:
+        d = _placed(d.join(F.broadcast(marks), match, "left"))
+    else:
+        known = marks.select(F.col("ifp").alias("fp")).distinct()
+        some = d.select("id", "k", "fp").join(known, "fp", "left_semi").select(F.col("id").alias("cid"), F.col("k").alias("ck"))
+        some = materialize(some.distinct(), "candidates")
+        full = words.join(some, F.expr("id <=> cid and k <=> ck"), "left_semi")
+        kept = _placed(_fingerprints(full, ["id", "k"], short).where("i >= 0")).join(marks, match)
+        head = words.select("id", "k", F.size("h").alias("n"), F.lit(-1).alias("i"), F.lit(0).alias("len"))
+        d = kept.unionByName(head, allowMissingColumns=True)
+    d = d.where("i < 0 or (item is not null and len = ilen)")
+    same = F.zip_with("ctx", "ictx", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    d = d.select("id", "k", "n", "i", "len", "p", "item", same.alias("same"))
+    left = _run(F.reverse(F.slice("same", 1, REACH)), REACH)
+    right = _run(F.slice("same", REACH + 1, GRAM + REACH), GRAM + REACH)
+    hit = F.when(F.col("i") < 0, F.lit(None)).when(
         F.col("len") > 0, F.struct(F.col("p").alias("at"), F.col("len").alias("size"))
     ).when(
         (right >= GRAM) & (left + right >= SPAN),
         F.struct((F.col("p") - left).alias("at"), (left + right).alias("size")),
     )
-    d = d.select("id", "k", "n", (F.col("p") < 0).cast("long").alias("head"), "item", hit.alias("hit"))
-    d = d.where("head = 1 or hit is not null").groupBy("id", "k").agg(
+    d = d.select("id", "k", "n", (F.col("i") < 0).cast("long").alias("head"), "item", hit.alias("hit"))
+    # No filter by hit: it would be pushed below, onto every window, and be evaluated there.
+    d = d.groupBy("id", "k").agg(
         F.max("n").cast("long").alias("n_words"),
         F.sum("head").cast("int").alias("copies"),
         F.collect_set("hit").alias("hits"),
-        F.array_sort(F.collect_set("item")).alias("items"),
+        F.array_sort(F.collect_set(F.when(F.col("hit").isNotNull(), F.col("item")))).alias("items"),
     )
     spans = F.transform("hits", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))
     return d.select(
