@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quillon.llm.common import discard, field, materialize, table
 from quillon.llm.graph import connected_components
@@ -118,11 +119,19 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near copies by similarity ---------------------------------------------------------------------
 
-#: Distinct texts whose shingles are counted to order them, how often a common one occurs among them, and
-#: how many are kept.
-SAMPLE_TEXTS, COMMON, COMMON_MOST = 10_000, 3, 200_000
 #: Bits of the long fingerprint, as 64-bit words.
 WORDS = 24
+#: Share of pairs right at the similarity that agree on a block at least; the number of blocks follows.
+SHARED = 0.97
+#: Bits of a block: SPARE more than it takes to number all classes, so that strangers seldom meet at any
+#: size of the table, and NARROW at least.
+NARROW, SPARE, WIDEST = 24, 4, 48
+#: Standard deviations by which the distance of a pair may exceed that expected at the similarity, of whole
+#: fingerprints, of their first words and of either where a set is below SURE; and by which it must fall
+#: short to be believed without comparing the sets.
+FAR, FAR_WORD, FAR_SMALL, CLEAR, SURE = 2.5, 4.0, 6.0, 5.0, 64
+#: Rounds in which every class is held against so many others at most, before all that is left.
+ROUNDS, PIVOTS = 2, 8
 _LANES = np.uint64(0x0101010101010101)
 _STEPS = np.array([0x9E3779B97F4A7C15 * (j + 1) & 0xFFFFFFFFFFFFFFFF for j in range(WORDS)], np.uint64)
 
@@ -138,15 +147,9 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def long_simhash(text: bytes | None, width: int) -> np.ndarray:
-    """WORDS 64-bit words, each a SimHash over its own mix of the shingle hashes; zeros if no words."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(WORDS, "<i8")
-    grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) > width else (b" ".join(words),)
-    n = max(1, len(words) - width + 1)
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=n)
+def long_simhash(h: np.ndarray) -> np.ndarray:
+    """WORDS 64-bit words, each a SimHash over its own mix of the shingle hashes; zeros if there are none."""
+    n = len(h)
     counts = np.zeros((WORDS, BITS), np.int64)
     step = CHUNK // 16
     for at in range(0, n, step):
@@ -164,32 +167,6 @@ def most_bits(similarity: float) -> int:
     return int(WORDS * BITS * np.arccos(cosine) / np.pi)
 
 
-def linked_classes(keyed: DataFrame, near: Callable[[DataFrame], DataFrame], may: Column | None = None) -> DataFrame:
-    """``(node, root)`` of the classes ``c`` that hang together by the pairs of one ``key`` that ``near``
-    confirms, a filter of distinct pairs ``(c, d)``.
-
-    Every class is first held against the smallest of its key, so a large group of close classes becomes
-    one component at a comparison a member. Then all pairs of a key that still lie in two components
-    are confirmed: no pair is left out but those that can't change a component. ``may``: a condition
-    on the pair's rows ``a`` and ``b`` that is true of one row of every near pair, part of the join."""
-    ends = keyed.groupBy("key").agg(F.min("c").alias("d"), F.max("c").alias("last"))
-    pivots = materialize(ends.where("d <> last").select("key", "d"), "pivots")
-    shared = materialize(keyed.join(pivots, "key"), "shared")
-    first = materialize(near(materialize(shared.where("c <> d").select("c", "d").distinct(), "pairs")), "near")
-    roots = connected_components(first.select(F.least("c", "d").alias("u"), F.greatest("c", "d").alias("v")))
-    of = shared.drop("d").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    ends = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rows = materialize(of.join(ends, "key", "left_semi"), "open")
-    on = F.expr("a.key = b.key AND a.c < b.c AND a.root <> b.root")
-    a, b = rows.alias("a"), rows.alias("b").hint("merge")
-    pairs = a.join(b, on if may is None else on & may).select(F.col("a.c").alias("c"), F.col("b.c").alias("d")).distinct()
-    more = near(materialize(pairs, "pairs"))
-    links = first.unionByName(more).select(F.least("c", "d").alias("u"), F.greatest("c", "d").alias("v"))
-    roots = connected_components(links)
-    discard(pivots, shared, rows)
-    return roots
-
-
 def shingles(text: bytes | None, width: int) -> np.ndarray:
     """The distinct hashes of ``width``-word shingles (all words if there are fewer), in order."""
     words = text.lower().split() if text else []
@@ -206,103 +183,175 @@ def set_class(h: np.ndarray) -> int:
     return c - (1 << BITS) if c >> (BITS - 1) else c
 
 
-def shingle_prefix(h: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """The first ``size - ceil(similarity size) + 1`` shingles in an order that is the same for all texts:
-    by hash, and after all others those of ``common`` (sorted) by their rank."""
-    n = len(h)
-    keep = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-    if not len(common):
-        return h[:keep]
-    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-    hot = common[at] == h
-    cold = h[~hot][:keep]
-    if len(cold) == keep:
-        return cold
-    return np.concatenate([cold, h[hot][np.argsort(rank[at[hot]])]])[:keep]
-
-
-def common_shingles(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of distinct texts has COMMON times or more, sorted, and their ranks from the
-    rarest. They only set the order of :func:`shingle_prefix`, so a sample and a bound lose nothing."""
-    most = min(1.0, SAMPLE_TEXTS / max(1, docs.count()))
-    texts = docs.select(F.col(text_col).cast("binary").alias("t"))
-    texts = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(most * (1 << 30))).distinct()
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def block_plan(classes: int, similarity: float) -> np.ndarray:
+    """The bits of each block, a row a block: as many blocks as it takes for a pair at this similarity to
+    agree on one with chance SHARED. Blocks part a shuffle of all bits, then of another shuffle, and so on."""
+    width = min(WIDEST, max(NARROW, math.ceil(math.log2(max(2, classes))) + SPARE))
+    agree = (1 - most_bits(similarity) / (WORDS * BITS)) ** width
+    blocks = math.ceil(math.log(1 - SHARED) / math.log(1 - agree))
+    each = WORDS * BITS // width
+    rng = np.random.default_rng(SEED)
+    rounds = [rng.permutation(WORDS * BITS)[: each * width].reshape(each, width) for _ in range(-(-blocks // each))]
+    return np.concatenate(rounds)[:blocks]
+
+
+def block_keys(classes: DataFrame, plan: np.ndarray) -> DataFrame:
+    """``(key, c)`` for every class ``c`` with long fingerprint ``fp`` and every block of the plan: the
+    number of the block, then its bits."""
+    blocks, width = plan.shape
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [shingles(t.as_py(), width) for t in b.column(0)]
-            flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["h"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                fps = np.ascontiguousarray(part.column(1).flatten().to_numpy()).view(np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(fps, axis=1, bitorder="little")[:, plan]
+                packed = np.zeros((part.num_rows, blocks, 8), np.uint8)
+                packed[:, :, : -(-width // 8)] = np.packbits(bits, axis=2, bitorder="little")
+                keys = packed.view("<i8")[:, :, 0] | (np.arange(blocks, dtype=np.int64) << WIDEST)
+                cols = [pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), blocks))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "c"])
+
+    return classes.select("c", "fp").mapInArrow(keyed, "key long, c long")
+
+
+def distances(similarity: float) -> tuple[Column, Column, Column]:
+    """For a pair with sizes ``n, m`` and fingerprints ``x, y``: whether it may be this similar by sizes and
+    the first words, the bits in which it differs, and the share of bits expected at the similarity."""
+    cosine = F.expr(f"least(1D, {similarity} / (1D + {similarity}) * (n + m) / greatest(1D, sqrt(cast(n as double) * m)))")
+    apart = F.acos(cosine) / math.pi
+    spread = F.sqrt(apart * (1 - apart))
+    far = lambda usual: F.when(F.least("n", "m") < SURE, FAR_SMALL).otherwise(usual)
+    first = F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0]))
+    may = (F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-6) & (first <= BITS * apart + far(FAR_WORD) * math.sqrt(BITS) * spread)
+    bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
+    total = WORDS * BITS
+    return may & (bits <= total * apart + far(FAR) * math.sqrt(total) * spread), bits, total * apart - CLEAR * math.sqrt(total) * spread
+
+
+def near_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the distinct ``(c, d)`` whose sets of shingles have this Jaccard similarity or more.
+
+    Sizes and the first word of the fingerprints rule out strangers, then whole fingerprints are held
+    against the distance expected at the similarity, given both sizes. Pairs far beyond it go, pairs
+    clearly below it stay, and for all others the sets are made again from the texts and compared."""
+    of = lambda df, names: df.select(*(F.col(x).alias(y) for x, y in names.items()))
+    may, bits, clear = distances(similarity)
+    whole = classes.select("c", "n", F.col("fp").alias("x"))
+    pairs = pairs.join(whole, "c").join(of(whole, {"c": "d", "n": "m", "x": "y"}), "d")
+    met = pairs.where(may).select("c", "d", "n", "m", ((F.least("n", "m") >= SURE) & (bits <= clear)).alias("clear"))
+    met = materialize(met, "met")
+    open_ = met.where("not clear")
+    wanted = open_.select("c").union(open_.select("d")).distinct()
+    ids = classes.join(wanted, "c", "left_semi").select(F.col("first").alias("wanted_id")).distinct()
 
-    counts = texts.mapInArrow(listed, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON_MOST).toArrow()
-    h = rows["h"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.arange(len(h), 0, -1)[order].astype(np.int32)
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py(), width) for t in b.column(0)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            cols = [pa.array([set_class(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(cols, names=["c", "h"])
+
+    sets = texts.join(ids, F.expr("id <=> wanted_id"), "left_semi").select("t").mapInArrow(again, "c long, h array<long>")
+    sets = materialize(sets.join(wanted, "c", "left_semi").groupBy("c").agg(F.first("h").alias("x")), "sets")
+    both = open_.join(sets, "c").join(of(sets, {"c": "d", "x": "y"}), "d")
+    shared = F.size(F.array_intersect("x", "y"))
+    near = both.where(shared * (1 + similarity) >= (F.col("n") + F.col("m")) * similarity - 1e-6).select("c", "d")
+    out = materialize(near.unionByName(met.where("clear").select("c", "d")), "near")
+    discard(met, sets)
+    return out
+
+
+def linked_classes(
+    keyed: DataFrame, near: Callable[[DataFrame], DataFrame], facts: DataFrame | None = None, may: Column | None = None
+) -> DataFrame:
+    """``(node, root)`` of the classes ``c`` that hang together by the pairs of one ``key`` that ``near``
+    confirms, a filter of distinct pairs ``(c, d)``.
+
+    First come rounds in which every class is held against PIVOTS others at most: of the smallest classes
+    of the largest components in its keys those that most keys name, as close classes share more keys
+    than strangers do. So a large group of close classes becomes one component at a few comparisons a
+    member. Then, in keys whose classes still lie in several components, all that aren't of the key's
+    largest are compared with all that are of another component than theirs: no pair is left out but those
+    that can't change a component. ``may``: a condition on the columns of ``facts`` that is true of every
+    near pair (``n, x`` of one class, ``m, y`` of the other); it is part of that join."""
+    keyed = keyed.repartition("key")  # one exchange, which both sides of the join read
+    ends = keyed.groupBy("key").agg(F.min("c").alias("d"), F.max("c").alias("last"))
+    shared = materialize(keyed.join(ends.where("d <> last").select("key"), "key", "left_semi").distinct(), "shared")
+    links = lambda df: df.select(F.least("c", "d").alias("u"), F.greatest("c", "d").alias("v"))
+    rows = shared.select("key", "c", F.col("c").alias("root"))
+    found: DataFrame | None = None
+    tables = [shared]
+    for last in [False] * ROUNDS + [True]:
+        sizes = rows.groupBy("key", "root").agg(F.count("*").alias("size"), F.min("c").alias("d"))
+        largest = F.max(F.struct("size", (-F.col("d")).alias("order"), "root", "d")).alias("m")
+        sizes = sizes.groupBy("key").agg(largest, F.count("*").alias("roots")).where("roots > 1")
+        rows = materialize(rows.drop("d", "largest").join(sizes.select("key", F.col("m.root").alias("largest"), "m.d"), "key"), "open")
+        tables.append(rows)
+        others = rows.where("root <> largest")
+        if not last:
+            often = others.groupBy("c", "d").agg(F.count("*").alias("keys")).where("keys > 1")
+            nth = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("keys"), "d"))
+            pairs = often.select("c", "d", nth.alias("nth")).where(F.col("nth") <= PIVOTS).select("c", "d")
+        else:
+            a, b = others, rows
+            if facts is not None:
+                a, b = a.join(facts, "c"), b.join(facts, "c").withColumnsRenamed({"n": "m", "x": "y"})
+            b = b.withColumnsRenamed({"c": "d2", "root": "root2"}).drop("d", "largest")
+            met = a.join(b.hint("merge"), "key").where(F.col("root") != F.col("root2"))
+            met = met if may is None else met.where(may)
+            pairs = met.select(F.least("c", "d2").alias("c"), F.greatest("c", "d2").alias("d")).distinct()
+        new = near(materialize(pairs, "pairs"))
+        found = new if found is None else found.unionByName(new)
+        roots = connected_components(links(found))
+        if not last:
+            rows = rows.select("key", "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
+            rows = rows.withColumn("root", F.coalesce("root", "c"))
+    discard(*tables)
+    return roots
 
 
 def similar_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """``(id_col, component_id)``, a row for each row of ``docs``: documents whose sets of ``width``-word
-    shingles have this Jaccard similarity or more, and all that hang together by them. Exact.
-
-    Equal sets are one class. Two sets this similar share one of the first ``size - ceil(similarity
-    size) + 1`` shingles of each, in any order common to all texts, so the classes that share one are
-    compared (:func:`linked_classes`) and the similarity of the whole sets decides. Shingles known to
-    be common come last in that order, which keeps groups small; the places of the first shared
-    shingle rule out most other pairs within the join. Sets are hashed again for those compared only.
-    Null and wordless texts are one class; null ids and repeats as in :func:`near_duplicates`.
+    """``(id_col, k, c, component_id, component)``, a row for each row of ``docs``: documents whose sets of
+    ``width``-word shingles have this Jaccard similarity or more, and all that hang together by them.
+
+    SimHash with more bits: at this similarity two fingerprints differ in some 15 % of them, so blocks
+    can't be sure to agree on one; instead there are as many as it takes for SHARED of the pairs right
+    at the similarity, and nearly all pairs above it (:func:`block_plan`). Those that share a block are
+    candidates (:func:`linked_classes`), and Hamming distance, then the sets themselves decide
+    (:func:`near_pairs`). Equal sets are one class ``c``, and only classes are compared. ``k`` is a hash
+    of the text, ``component`` the smallest class and ``component_id`` the smallest id reachable. Null and
+    wordless texts are one class; null ids and repeats as in :func:`near_duplicates`.
     """
-    common, rank = common_shingles(docs, text_col, width)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), width) for t in b.column(1)]
-            p = [shingle_prefix(h, common, rank, similarity) for h in sets]
-            ends = np.cumsum([0, *map(len, p)]).astype(np.int32)
-            flat = np.concatenate(p).view(np.int64) if p else np.empty(0, np.int64)
-            cols = [pa.array([set_class(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32())]
+            made: list[tuple[int, int, np.ndarray]] = []
+            for t in b.column(2):
+                h = shingles(t.as_py(), width)
+                made.append((set_class(h), len(h), long_simhash(h)))
+            ends = np.arange(0, WORDS * (len(made) + 1), WORDS, dtype=np.int32)
+            flat = np.concatenate([f for _, _, f in made]) if made else np.empty(0, np.int64)
+            cols = [pa.array([c for c, _, _ in made], pa.int64()), pa.array([n for _, n, _ in made], pa.int32())]
             cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[id_col, "c", "n", "first_shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "k", "c", "n", "fp"])
 
-    spec = [T.StructField("c", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("first_shingles", T.ArrayType(T.LongType()))]
-    texts = docs.select(id_col, F.col(text_col).cast("binary").alias("t"))
-    found = materialize(texts.mapInArrow(hashed, T.StructType([field(docs, id_col), *spec])), "shingles")
-    classes = found.groupBy("c").agg(F.first("n").alias("n"), F.first("first_shingles").alias("p"), F.min(id_col).alias("first"))
+    spec = [T.StructField("k", T.LongType()), T.StructField("c", T.LongType()), T.StructField("n", T.IntegerType())]
+    spec = T.StructType([field(docs, id_col, "id"), *spec, T.StructField("fp", T.ArrayType(T.LongType()))])
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), F.col(text_col).cast("binary").alias("t"))
+    found = materialize(texts.mapInArrow(hashed, spec), "fingerprints")
+    classes = found.groupBy("c").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("id").alias("first"))
     classes = materialize(classes, "classes")
-    keyed = classes.select("c", "n", F.posexplode("p").alias("i", "key"))
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t.as_py(), width) for t in b.column(0)]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            cols = [pa.array([set_class(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(cols, names=["c", "h"])
-
-    def near(pairs: DataFrame) -> DataFrame:
-        size = classes.select("c", "n")
-        pairs = pairs.join(size, "c").join(size.select(F.col("c").alias("d"), F.col("n").alias("m")), "d")
-        pairs = materialize(pairs.where(F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - 1e-6), "sized")
-        wanted = pairs.select("c").union(pairs.select("d")).distinct()
-        ids = classes.join(wanted, "c", "left_semi").select(F.col("first").alias("wanted_id")).distinct()
-        sets = texts.join(ids, F.col(id_col).eqNullSafe(F.col("wanted_id")), "left_semi").select("t").mapInArrow(again, "c long, h array<long>")
-        sets = materialize(sets.join(wanted, "c", "left_semi").groupBy("c").agg(F.first("h").alias("x")), "sets")
-        both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("d"), F.col("x").alias("y")), "d")
-        shared = F.size(F.array_intersect("x", "y"))
-        out = materialize(both.where(shared * (1 + similarity) >= (F.col("n") + F.col("m")) * similarity - 1e-6).select("c", "d"), "near")
-        discard(pairs, sets)
-        return out
-
-    share = similarity / (1 + similarity)
-    may = F.expr(
-        f"least(a.n, b.n) >= greatest(a.n, b.n) * {similarity} - 1e-6 "
-        f"AND least(a.n - a.i, b.n - b.i) >= (a.n + b.n) * {share} - 1e-6"
-    )
-    roots = linked_classes(keyed, near, may)
-    linked = classes.select("c", "first").join(roots.select(F.col("node").alias("c"), "root"), "c")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = linked.join(least, "root").select("c", "component_id")
-    named = classes.select("c", "first").join(linked, "c", "left").select("c", F.coalesce("component_id", "first").alias("component_id"))
-    return found.select(id_col, "c").join(materialize(named, "named"), "c").select(id_col, "component_id")
+    plan = block_plan(classes.count(), similarity)
+    near = lambda pairs: near_pairs(pairs, classes, texts, width, similarity)
+    facts = classes.select("c", "n", F.col("fp").alias("x"))
+    roots = linked_classes(block_keys(classes, plan), near, facts, distances(similarity)[0])
+    linked = classes.select("c", "first").join(roots.select(F.col("node").alias("c"), "root"), "c", "left")
+    linked = linked.withColumn("component", F.coalesce("root", "c"))
+    least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = materialize(linked.join(least, "component").select("c", "component_id", "component"), "named")
+    out = found.select("id", "k", "c").join(named, "c")
+    return out.select(F.col("id").alias(id_col), "k", "c", "component_id", "component")
