@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.common import field, materialize, table
+from quillon.llm.tokencounts import with_length
 
-#: Tokens (words and a separator) of a bin.
+#: Tokens (encoded ones and a separator for each document) of a bin.
 CAPACITY = 2048
 #: Documents that one packing task takes, on average.
 SHARD = 4096
@@ -55,23 +56,24 @@ def best_fit(sizes: list[int], sources: list[object], clusters: list[object], ca
 
 def pack(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    cluster_col: str | None = None, capacity: int = CAPACITY, shard: int = SHARD,
+    cluster_col: str | None = None, length_col: str | None = None, capacity: int = CAPACITY, shard: int = SHARD,
 ) -> DataFrame:
     """``(bin_id, id_col, piece, start, n_tokens)``: every document, in pieces of ``capacity`` at most.
 
-    A document has its words (between ASCII white space) and one separator as tokens. A longer
-    one is cut: full pieces are bins of their own, the rest is packed like a document; ``start``
-    is the piece's first token. In one bin no two documents share a source or a duplicate cluster
-    (equal texts, unless ``cluster_col`` gives them). Documents are dealt to packing tasks by a
-    hash of id and text into shards of bounded size, so a source of any share is spread over all
-    of them, and texts never travel: only ids, lengths and two keys do. Null and empty texts have
-    the separator alone; null sources conflict with nothing; repeated rows are packed as often as
-    they come, in bins apart; ties go by id, then by length. No documents give no rows.
+    A document has as many tokens as ``length_col`` says (null: none), without it its words between ASCII
+    white space, and one separator. A longer one is cut: full pieces are bins of their own, the rest is
+    packed like a document; ``start`` is the piece's first token. In one bin no two documents share a
+    source or a duplicate cluster (equal texts, unless ``cluster_col`` gives them). Documents are dealt to
+    packing tasks by a hash of id, text and row, into shards of bounded size, so neither a source nor
+    copies of a row, of whatever share, gather in one task, and texts never travel: only ids, lengths and
+    two keys do. Null and empty texts have the separator alone; null sources conflict with nothing;
+    repeated rows are packed as often as they come, in bins apart; ties go by id, then by length. No
+    documents give no rows.
     """
     cluster = F.col(cluster_col) if cluster_col else F.xxhash64(text_col)
     blank = r"[\x20\x09-\x0D]+"
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.size(F.array_remove(F.split(text, blank), ""))
+    words = F.coalesce(F.col(length_col), F.lit(0)) if length_col else F.size(F.array_remove(F.split(text, blank), ""))
     d = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
         F.when(F.col(text_col).isNotNull(), cluster).alias("cluster"),
@@ -79,7 +81,8 @@ def pack(
     )
     d = materialize(d, "lengths")
     shards = -(-d.count() // shard) or 1
-    d = d.withColumn("shard", F.pmod("deal", F.lit(shards)))
+    # Copies of a row have one hash; the row's place in the written table parts them.
+    d = d.withColumn("shard", F.pmod(F.xxhash64("deal", F.monotonically_increasing_id()), F.lit(shards)))
     full = d.select("*", F.explode(F.expr(f"sequence(0L, n div {capacity} - 1)")).alias("piece")).where(f"n >= {capacity}")
     whole = full.select(
         F.concat_ws("-", F.lit("f"), F.hex("deal"), F.hex("piece"), F.monotonically_increasing_id()).alias("bin_id"),
@@ -107,5 +110,7 @@ def pack(
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` in bins of CAPACITY tokens; duplicate clusters are equal texts."""
-    return pack(table(spark, sf_dir, "documents"))
+    """All ``documents``, by their encoded lengths, in bins of CAPACITY tokens; duplicate clusters are
+    equal texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return pack(with_length(docs), length_col="n_tokens")
