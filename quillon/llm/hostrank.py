@@ -17,8 +17,9 @@ RULES = (
     ("allow", "org/fr/"),
 )
 DAMPING = 0.85
-ROUNDS = 30
 TOLERANCE = 1e-6
+#: Rounds between two written tables.
+STRIDE = 4
 #: A host that no rule decides is blocked if its distrust exceeds its trust by this much.
 MARGIN = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,26 +52,30 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     seeds in 0 to 1. A host that nothing links to has its seed as its score.
 
     score = seed + DAMPING * what comes in, where a host passes its score on in proportion to its
-    links: PageRank by 1 - DAMPING, so that a host's own seed counts in full. Every round is a join
-    and a partial aggregate by host, written to the shared folder, so neither a hub nor a lost
-    executor hurts. Ends when no score moves by TOLERANCE, or after ROUNDS."""
+    links: PageRank by 1 - DAMPING, so that a host's own seed counts in full. A round is a join and a
+    partial aggregate by host, and every STRIDE rounds are written to the shared folder, so neither a
+    hub nor a lost executor hurts. Goes on until no score moves by TOLERANCE, which it comes to on any
+    graph, because all that still moves shrinks by DAMPING in every round."""
     total = edges.groupBy("src").agg(F.sum("w").alias("all"))
     flow = edges.join(total, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("p"))
     flow = materialize(flow, "flow")
     rank = seeds.select("host", F.col("seed").alias("score"))
-    for _ in range(ROUNDS):
-        moved = flow.join(rank, flow.src == rank.host).groupBy("dst").agg(F.sum(F.col("p") * F.col("score")).alias("into"))
-        new = seeds.join(moved, seeds.host == moved.dst, "left").select(
-            "host", (F.col("seed") + DAMPING * F.coalesce("into", F.lit(0.0))).alias("score")
-        )
+    while True:
+        new = rank
+        for _ in range(STRIDE):
+            moved = flow.join(new.select("host", "score"), F.col("src") == F.col("host"))
+            moved = moved.groupBy("dst").agg(F.sum(F.col("p") * F.col("score")).alias("into"))
+            old = new.select("host", F.col("score").alias("old"))
+            new = seeds.join(moved, F.col("host") == F.col("dst"), "left").join(old, "host").select(
+                "host", (F.col("seed") + DAMPING * F.coalesce("into", F.lit(0.0))).alias("score"), "old"
+            )
         new = materialize(new, "rank")
-        old = rank.select("host", F.col("score").alias("old"))
-        change = new.join(old, "host").agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
+        change = new.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
         discard(rank)
         rank = new
         if change is None or change < TOLERANCE:
-            break
-    return rank
+            discard(flow)
+            return rank.select("host", "score")
 
 
 def judge(
@@ -121,6 +126,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+#: Rounds of the SQL: 0.85 to this power is far below TOLERANCE.
+_ROUNDS = 120
 _FITS = " ".join(
     f"WHEN (host = '{rule.partition('/')[0]}' OR ends_with(host, '.{rule.partition('/')[0]}')) AND starts_with(path, '/{rule.partition('/')[2]}') THEN '{verdict} {rule}'"
     for verdict, rule in sorted(RULES, key=lambda r: (-len(r[1]), r[1]))
@@ -132,7 +139,7 @@ def _rank(name: str, seed: str, src: str, dst: str) -> str:
   SELECT 0 AS i, host, {seed} AS score FROM hosts
   UNION ALL
   SELECT any_value(r.i) + 1, h.host, any_value(h.{seed}) + {DAMPING} * coalesce(sum(e.w / t.w * r.score) FILTER (WHERE e.{dst} = h.host), 0)
-  FROM {name} r LEFT JOIN edges e ON e.{src} = r.host LEFT JOIN total_{src} t ON t.host = r.host, hosts h WHERE r.i < {ROUNDS} GROUP BY h.host)"""
+  FROM {name} r LEFT JOIN edges e ON e.{src} = r.host LEFT JOIN total_{src} t ON t.host = r.host, hosts h WHERE r.i < {_ROUNDS} GROUP BY h.host)"""
 
 
 ORACLE_SQL = rf"""
@@ -149,6 +156,6 @@ outside AS (SELECT host, CASE {_FITS} END AS m FROM (SELECT DISTINCT dst AS host
 hosts AS (SELECT * FROM own UNION ALL SELECT host, CAST(coalesce(starts_with(m, 'allow'), FALSE) AS INT), CAST(coalesce(starts_with(m, 'block'), FALSE) AS INT) FROM outside),
 {_rank("trust", "good", "src", "dst")},
 {_rank("distrust", "bad", "dst", "src")},
-v AS (SELECT t.host, d.score - t.score >= {MARGIN} AS blocked FROM trust t JOIN distrust d ON t.host = d.host AND t.i = {ROUNDS} AND d.i = {ROUNDS})
+v AS (SELECT t.host, d.score - t.score >= {MARGIN} AS blocked FROM trust t JOIN distrust d ON t.host = d.host AND t.i = {_ROUNDS} AND d.i = {_ROUNDS})
 SELECT page_id, m.host, path, split_part(m, ' ', 2) AS rule, CASE WHEN m IS NOT NULL THEN split_part(m, ' ', 1) WHEN blocked THEN 'block' ELSE 'allow' END AS verdict FROM m JOIN v USING (host)
 """
