@@ -6,8 +6,8 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,91 +33,172 @@ INLINE = frozenset(
      "tt", "u", "var", "wbr")
 )
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: What follows a name up to the end of the tag; ``>`` may stand in quotes. Possessive, so one pass.
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
-#: Weights before learning, and how many labelled pages a fit takes at most.
-WORD, TAG = 1.0, -2.0
-SAMPLE_PAGES = 2_000
+#: A word's score, what a tag costs that is never seen in an article, and what an element costs that is
+#: no part of one, whatever it holds.
+WORD, COST, OUTSIDE = 1.0, 8.0, 1.0
+#: How often a tag is taken to stand outside before any is seen, as if FIRST had been, and of other tags.
+FIRST, OTHER = 10, 0.25
+USUAL = {
+    name: share for share, names in (
+        (0.02, "p h1 h2 h3 h4 h5 h6 br b i em strong u s q cite code pre blockquote sub sup mark small time abbr article main"),
+        (0.05, "div section span ul ol li dl dt dd table thead tbody tr td th figure figcaption img picture hr"),
+    ) for name in names.split()
+}
+#: How many labelled pages a fit takes at most, and how often it must see a word of a class to learn it.
+SAMPLE_PAGES, SEEN = 2_000, 5
 
 
-def pieces(page: str) -> Iterator[tuple[str, str, bool]]:
-    """``(kind, value, outside)`` in page order: a text piece, or a tag as its name with a leading
-    slash if it closes. ``outside``: it lies in an element that holds no part of an article.
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """``(kind, value, attributes)`` in page order: a text piece, or a tag as its name with a leading slash
+    if it closes. Comments, declarations and elements of RAW are left out. One pass over the page: an
+    open quote can only once send the scan to the page's end; from then on tags end at the next ``>``."""
+    at, size, loose = 0, len(page), False
+    while at < size:
+        j = page.find("<", at)
+        if j < 0:
+            yield "text", page[at:], ""
+            return
+        if j > at:
+            yield "text", page[at:j], ""
+        if page.startswith("<!--", j):
+            at = end + 3 if (end := page.find("-->", j + 4)) >= 0 else size
+        elif page[j + 1 : j + 2] in ("!", "?"):
+            at = end + 1 if (end := page.find(">", j)) >= 0 else size
+        elif (m := NAME.match(page, j)) is None:
+            yield "text", "<", ""
+            at = j + 1
+        else:
+            rest = None if loose else REST.match(page, m.end())
+            if rest is None:
+                loose = True
+                if (end := page.find(">", m.end())) < 0:
+                    return
+            at = rest.end() if rest else end + 1
+            name, attributes = m[1].lower(), page[m.end() : at - 1]
+            closes = page[j + 1] == "/"
+            if name not in CLOSE:
+                yield "tag", "/" * closes + name, attributes
+            elif not closes and not (attributes.endswith("/") and name in ("svg", "object")):
+                at = end.end() if (end := CLOSE[name].search(page, at)) else size
+
+
+@dataclass(slots=True)
+class Item:
+    """A text piece with its number of words, or a tag. ``outside``: it lies in an element that holds no
+    part of an article; ``border``: it opens such an element."""
+
+    text: bool
+    value: str
+    words: int = 0
+    marks: str = ""
+    outside: bool = False
+    border: bool = False
+
+
+def pieces(page: str) -> list[Item]:
+    """The items of a page in order.
 
     Marks of html and body don't count, and of article and main only a whole word of the class. Nor
-    do those of an element with over half of the page's words, unless an article stands beside it."""
-    stack: list[tuple[str, bool, tuple[int, ...]]] = []
-    found: list[tuple[str, str, bool, tuple[int, ...]]] = []
-    words, total, named, marked = Counter(), 0, [], 0
-    for m in TOKEN.finditer(page):
-        _, outside, inside = stack[-1] if stack else ("", False, ())
-        if m[5] is not None:
-            found.append(("text", m[5], outside, inside))
-            if not outside:
-                n = len(m[5].split())
-                total += n
-                for k in inside:
-                    words[k] += n
-        elif m[3]:
-            name = m[3].lower()
-            if m[2]:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                found.append(("tag", f"/{name}", outside, inside))
-                if at is not None and name not in INLINE:
-                    del stack[at:]
-            else:
-                marks = " ".join(filter(None, (x for a in ATTRIBUTE.findall(m[4]) for x in a)))
-                hard, within = outside or name in BOILERPLATE, inside
-                if name in ("article", "main"):
-                    mark = any(MARKED.fullmatch(x) for x in marks.split())
-                else:
-                    mark = name not in ("html", "body") and MARKED.search(CAMEL.sub("-", marks))
-                if mark:
-                    within, marked = (*inside, marked), marked + 1
-                if name in ("article", "main") and not hard:
-                    named.append(within)
-                found.append(("tag", name, hard, within))
-                if name not in VOID and name not in INLINE and not m[4].endswith("/"):
-                    if name == "p":  # a paragraph ends where the next begins
-                        while stack and stack[-1][0] == "p":
-                            stack.pop()
-                    stack.append((name, hard, within) if name != "p" else (name, outside, inside))
-    wide = {k for k, n in words.items() if 2 * n > total and all(k in x for x in named)}
-    for kind, value, hard, inside in found:
-        yield kind, value, hard or not wide.issuperset(inside)
-
-
-def region(items: list[tuple[str, str, bool]], weights: dict[str, float]) -> tuple[int, int]:
-    """The first of the best contiguous runs of ``items``: words score, tags cost their weights,
-    and what lies outside costs as much as it would score. One linear scan; (0, 0) if no run has
-    a positive sum."""
-    best, span, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, value, outside) in enumerate(items):
+    do those of an element with over half of the page's words that holds every article there is."""
+    items: list[Item] = []
+    home: list[int] = []  # the innermost element of each item
+    parent, hard, marked, words, named = [-1], [False], [False], [0], [0]
+    stack, names, opened = [0], [""], Counter()
+    for kind, value, attributes in tokens(page):
+        at = stack[-1]
         if kind == "text":
-            words = len(value.split())
-            gain = words * (-weights["word"] if outside else weights["word"])
+            n = len(value.split())
+            items.append(Item(True, value, n))
+            home.append(at)
+            words[at] += 0 if hard[at] else n
+        elif value[0] == "/":
+            items.append(Item(False, value))
+            home.append(at)
+            if opened[value[1:]]:
+                name = ""
+                while name != value[1:]:
+                    stack.pop()
+                    name = names.pop()
+                    opened[name] -= 1
         else:
-            gain = weights.get(value, weights["tag"])
+            marks = " ".join(filter(None, (x for a in ATTRIBUTE.findall(attributes) for x in a)))
+            block = value not in VOID and value not in INLINE and not attributes.endswith("/")
+            if value == "p":  # a paragraph ends where the next begins
+                while names[-1] == "p":
+                    stack.pop()
+                    opened[names.pop()] -= 1
+                at = stack[-1]
+            if value in ("article", "main"):
+                mark = any(MARKED.fullmatch(x) for x in marks.split())
+            else:
+                mark = bool(marks) and value not in ("html", "body") and bool(MARKED.search(CAMEL.sub("-", marks)))
+            if block:
+                parent.append(at)
+                hard.append(hard[at] or value in BOILERPLATE)
+                marked.append(mark)
+                words.append(0)
+                named.append(int(value in ("article", "main") and not hard[-1]))
+                at = len(parent) - 1
+                stack.append(at)
+                names.append(value)
+                opened[value] += 1
+            items.append(Item(False, value, 0, marks.lower()))
+            home.append(at)
+    for e in range(len(parent) - 1, 0, -1):
+        words[parent[e]] += words[e]
+        named[parent[e]] += named[e]
+    out = [False]
+    for e in range(1, len(parent)):
+        wide = 2 * words[e] > words[0] and named[e] == named[0]
+        out.append(out[parent[e]] or hard[e] or (marked[e] and not wide))
+    last = 0
+    for x, e in zip(items, home, strict=True):
+        x.outside, x.border = out[e], e > last and out[e] and not out[parent[e]]
+        last = max(last, e)
+    return items
+
+
+def score(x: Item, weights: dict[str, float]) -> float:
+    """Words score, tags cost: as their name does, or a word of their class that costs more. What lies
+    outside neither scores nor costs, but for the element itself."""
+    if x.outside:
+        return -OUTSIDE if x.border else 0.0
+    if x.text:
+        return WORD * x.words
+    cost = weights.get(x.value)
+    if cost is None:
+        cost = -COST * USUAL.get(x.value.removeprefix("/"), OTHER)
+    return min([cost, *(weights[k] for w in x.marks.split() if (k := f".{w}") in weights)]) if x.marks else cost
+
+
+def region(items: list[Item], weights: dict[str, float]) -> tuple[int, int]:
+    """The first of the best contiguous runs of ``items`` by :func:`score`. One linear scan; (0, 0) if no
+    run has a positive sum."""
+    best, span, total, start = 0.0, (0, 0), 0.0, 0
+    for i, x in enumerate(items):
         if total <= 0:
             total, start = 0.0, i
-        total += gain
+        total += score(x, weights)
         if total > best:
             best, span = total, (start, i + 1)
     return span
 
 
-def text_of(items: Iterable[tuple[str, str, bool]]) -> str:
+def text_of(items: Iterable[Item]) -> str:
     """Blocks of the items in page order, joined by one space."""
     blocks, block = [], []
-    for kind, value, outside in items:
-        if kind == "text":
-            if not outside:
-                block.append(value)
-        elif value.lstrip("/") not in INLINE:
+    for x in items:
+        if x.text:
+            if not x.outside:
+                block.append(x.value)
+        elif x.value.removeprefix("/") not in INLINE:
             blocks.append("".join(block))
             block = []
     blocks.append("".join(block))
@@ -125,72 +206,52 @@ def text_of(items: Iterable[tuple[str, str, bool]]) -> str:
     return " ".join(b for b in clean if b)
 
 
-def elements(items: list[tuple[str, str, bool]], name: str) -> list[tuple[int, int]]:
-    """Where each element of this name begins and ends, by depth; one left open ends with the items."""
-    opened, found = [], []
-    for i, (kind, value, outside) in enumerate(items):
-        if kind == "tag" and value == name:
-            opened.append((i, outside))
-        elif kind == "tag" and value == f"/{name}" and opened:
-            at, out = opened.pop()
-            if not out:
-                found.append((at, i))
-    return found + [(at, len(items)) for at, out in opened if not out]
-
-
 def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The main text of a page; empty if there is none."""
-    items = list(pieces(page)) if page else []
+    """The main text of a page: what the best run holds of an article; empty if there is none."""
+    items = pieces(page) if page else []
     start, end = region(items, weights)
-    # A heading may stand before the run, or a closing line behind it, for want of words: the
-    # run is carried on to the borders of the article that holds it, if the page names one.
-    # Each opening belongs to its own close, and elements that the run touches only ever widen it.
-    for name in ("article", "main"):
-        touched = [(a, z) for a, z in elements(items, name) if a < end and z > start]
-        if start < end and touched:
-            start, end = min(start, *(a for a, _ in touched)), max(end, *(z for _, z in touched))
-            break
     return text_of(items[start:end])
 
 
-def _counts(page: str) -> tuple[Counter, Counter, int, int]:
-    inside, outside, words_in, words_out, deep = Counter(), Counter(), 0, 0, 0
-    for kind, value, _ in pieces(page):
-        deep += kind == "tag" and value == "article"
-        if kind == "text":
-            n = len(value.split())
-            words_in, words_out = words_in + n * (deep > 0), words_out + n * (deep == 0)
-        else:
-            (inside if deep else outside)[value] += 1
-        deep -= kind == "tag" and value == "/article" and deep > 0
-    return inside, outside, words_in, words_out
+def counts(page: str) -> tuple[Counter, Counter]:
+    """How often each tag, and each word of a class (with a dot), stands inside an article and outside."""
+    inside, outside, deep = Counter(), Counter(), 0
+    for x in pieces(page):
+        if not x.text:
+            deep += x.value == "article"
+            (inside if deep else outside).update([x.value, *(f".{w}" for w in set(x.marks.split()))])
+            deep -= x.value == "/article" and deep > 0
+    return inside, outside
 
 
 def fit(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Weights of tags learned from pages that label their content with ``article`` themselves.
+    """What each tag costs, and each word of a class, learned from pages that label their content with
+    ``article`` themselves: COST by the share of those seen that stand outside. Tags seen seldom cost
+    about what is usual of them.
 
-    A tag costs the more the less it is seen inside: its weight is TAG plus the log odds, at most
-    0, of standing inside against outside; a word scores WORD. ``sample_pages`` bounds the
-    labelled pages, those with the smallest hash of the id; every task sends one count a tag.
-    Without labelled pages all tags weigh TAG."""
+    ``sample_pages`` bounds the labelled pages, those with the smallest hash of the id; every task sends
+    one count a tag, and all of them are used. Without labelled pages nothing is learned."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Counter()
         for b in batches:
             for t in as_bytes(b.column(0)):
-                inside, outside, _, _ = _counts((t or b"").decode("utf-8", "replace"))
+                inside, outside = counts((t or b"").decode("utf-8", "replace"))
                 total.update({(k, True): n for k, n in inside.items()})
                 total.update({(k, False): n for k, n in outside.items()})
         cols = [pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.bool_()), pa.array(total.values(), pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["tag", "inside", "n"])
 
-    known = pages.where(F.contains(html_col, F.lit("<article"))).select(id_col)
+    known = pages.where(F.contains(F.col(html_col), F.lit("<article"))).select(id_col)
     ids = bounded_sample(known.distinct(), id_col, sample_pages)
     known = pages.join(F.broadcast(ids), id_col).select(html_col)
-    made = known.mapInArrow(counted, "tag string, inside boolean, n long").where("length(tag) <= 20")
-    rows = made.groupBy("tag").agg(F.sum(F.expr("if(inside, n, 0)")).alias("a"), F.sum(F.expr("if(inside, 0, n)")).alias("b"))
-    rows = rows.orderBy(F.desc(F.col("a") + F.col("b")), "tag").limit(500).collect()
-    return {"word": WORD, "tag": TAG} | {r.tag: TAG + min(0.0, float(np.log((r.a + 1) / (r.b + 1)))) for r in rows}
+    made = known.mapInArrow(counted, "tag string, inside boolean, n long")
+    rows = made.groupBy("tag").agg(F.sum(F.expr("if(inside, n, 0)")).alias("a"), F.sum(F.expr("if(inside, 0, n)")).alias("b")).collect()
+    usual = lambda tag: USUAL.get(tag.removeprefix("/"), OTHER)
+    return {
+        r.tag: -COST * (r.b + FIRST * usual(r.tag)) / (r.a + r.b + FIRST)
+        for r in rows if not r.tag.startswith(".") or r.a + r.b >= SEEN
+    }
 
 
 def with_text(df: DataFrame, weights: dict[str, float], *, html_col: str = "html", out: str = "text") -> DataFrame:
