@@ -102,7 +102,7 @@ def test_long_fingerprints_estimate_similarity():
             other[k] = "new"
         grams = [{tuple(w[i : i + 5]) for i in range(396)} for w in (base, other)]
         s = len(grams[0] & grams[1]) / len(grams[0] | grams[1])
-        a, b = (simhash.long_simhash(" ".join(w).encode(), 5) for w in (base, other))
+        a, b = (simhash.long_simhash(simhash.shingles(" ".join(w).encode(), 5)) for w in (base, other))
         apart = sum(int(x).bit_count() for x in (a ^ b).view(np.uint64))
         assert abs(apart - simhash.most_bits(s)) < 70
     h = rng.integers(0, 2**63, 1000).astype(np.uint64)
@@ -156,7 +156,27 @@ def test_similar_documents_equal_brute_force_near_the_threshold(spark):
                 low, high = sorted((root[i], root[j]))
                 root = {k: low if r == high else r for k, r in root.items()}
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, docs)).collect()}
-    assert got == root and root[402] == root[0] and len(set(root.values())) > 50
+    assert all(root[i] == root[c] for i, c in got.items()), "a link that isn't there"
+    linked = [i for i, r in root.items() if r != i]
+    assert sum(got[i] != i for i in linked) >= 0.9 * len(linked) and got[402] == got[0] and len(set(root.values())) > 50
+
+
+def test_lone_pairs_right_at_the_similarity_are_found(spark):
+    rng, docs = np.random.default_rng(17), []
+    for g in range(300):
+        w = [f"p{g}x{i}" for i in range(404)]
+        if g % 2:  # 320 of 400 shingles: 0.8
+            other = w[:324]
+        else:  # 356 and 80 others
+            other = list(w)
+            for k in 40 * np.arange(1, 9) + rng.integers(0, 30):
+                other[k] = f"new{g}"
+        docs += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, docs)).collect()}
+    assert all(got[i] in (i, i - i % 2) for i in got)
+    found = sum(got[2 * g + 1] == 2 * g for g in range(300)) / 300
+    print("found of lone pairs at 0.80 to 0.82:", found)
+    assert found >= 0.9
 
 
 # --- winnowing -------------------------------------------------------------------------------------
@@ -368,9 +388,19 @@ def test_url_rules_and_propagation(spark):
     assert by[3] == ("m.example.com", "/de/", "example.com/de/", "block") and by[4][2:] == ("org/fr/", "allow") and by[5][2:] == (None, "allow")
     assert by[6] == ("", "", None, "allow") and by[7] == ("", "", None, "allow") and by[8][1:3] == ("", None) and by[9] == ("u:", "//v/w", None, "allow")
     assert by[10][3] == "block" and by[12][3] == "block" and by[11][3] == "allow"
+    odd = spark.createDataFrame([(None, "http://b.net/", "", "h", "p", "v"), (None, None, None, None, None, None)], "page_id long, url string, html string, host string, path string, verdict string")
+    assert sorted((r.host, r.path, r.verdict) for r in hostrank.judge(odd).collect()) == [("", "", "allow"), ("b.net", "/", "block")]
     assert hostrank.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_propagation_around_a_long_cycle(spark):
+    n = 60  # what goes around comes back after far more rounds than any small number of them
+    edges = [(f"h{i}", f"h{(i + 1) % n}", 1.0) for i in range(n)]
+    seeds = [(f"h{i}", float(i == 0)) for i in range(n)]
+    got = {r.host: r.score for r in hostrank.propagate(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame(seeds, "host string, seed double")).collect()}
+    assert all(abs(got[f"h{i}"] - 0.85**i / (1 - 0.85**n)) < 1e-5 for i in range(n))
+
+
 def test_url_sql_on_linked_hosts(spark):
     link = lambda *hosts: "".join(f"<a HREF = '//{h}/x'>" for h in hosts)
     rows = [(1, "http://a.net/x", "", link("spam.io")), (2, "http://spam.io/a", link("a.net", "c.net"), ""), (3, "http://farm.io/", link("spam.io", "good.io"), ""), (4, "http://good.io/", link("x.org", "farm.io"), ""), (5, None, None, ""), (6, "http://x.org/fr/", link("good.io"), "")]
@@ -388,7 +418,7 @@ def test_propagation_equals_power_iteration(spark):
     seeds = {"a": 1.0, "b": 0.0, "c": 0.25, "d": 0.5}
     got = {r.host: r.score for r in hostrank.propagate(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame(list(seeds.items()), "host string, seed double")).collect()}
     want = dict(seeds)
-    for _ in range(hostrank.ROUNDS):
+    for _ in range(400):
         into = {h: sum(want[s] * w / sum(x[2] for x in edges if x[0] == s) for s, t, w in edges if t == h) for h in seeds}
         want = {h: seeds[h] + 0.85 * into[h] for h in seeds}
     assert all(abs(got[h] - want[h]) < 1e-5 for h in seeds)
@@ -404,32 +434,71 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_extraction_of_a_full_page():
-    weights = {"word": 1.0, "tag": -2.0}
     want = "Title & more First boldened paragraph with words. Second one <here> with many more words in it. Last words of the text."
-    assert content.extract(PAGE, weights) == want
-    assert content.extract("", weights) == content.extract(None, weights) == "" == content.extract("<nav><a>x</a></nav>", weights)
+    assert content.extract(PAGE, {}) == want
+    assert content.extract("", {}) == content.extract(None, {}) == "" == content.extract("<nav><a>x</a></nav>", {})
     camel = '<main><p>one two three</p><div id="commentList"><p>four five six seven</p></div><div class="made"><p>eight nine</p></div></main>'
-    assert content.extract(camel, weights) == "one two three eight nine"
-    assert content.extract("plain &am words &amp", weights) == "plain &am words &"
+    assert content.extract(camel, {}) == "one two three eight nine"
+    assert content.extract("plain &am words &amp", {}) == "plain &am words &"
 
 
 def test_extraction_of_nested_and_sibling_articles():
-    weights, say = {"word": 1.0, "tag": -2.0}, lambda w: " ".join([w] * 12)
-    page = f"<article><h1>Head</h1><p>{say('a')}</p><article><p>{say('b')}</p></article><p>{say('c')}</p><p>end</p></article><p>x</p>"
-    assert content.extract(page, weights) == f"Head {say('a')} {say('b')} {say('c')} end"
+    say = lambda w: " ".join([w] * 12)
+    page = f"<article><h1>Head</h1><p>{say('a')}</p><article><p>{say('b')}</p></article><p>{say('c')}</p><p>end</p></article><ul><li><a>x</a></ul>"
+    assert content.extract(page, {}) == f"Head {say('a')} {say('b')} {say('c')} end"
     page = f"<article><p>{say('a')}</p></article><article><p>{say('b')}</p></article><article><p>{say('c')}</p><p>end</p></article>"
-    assert content.extract(page, weights) == f"{say('a')} {say('b')} {say('c')} end"
+    assert content.extract(page, {}) == f"{say('a')} {say('b')} {say('c')} end"
     page = f"<article><p>one</p><article><p>two</p></article><p>{say('c')}</p>"
-    assert content.extract(page, weights) == f"one two {say('c')}"
+    assert content.extract(page, {}) == f"one two {say('c')}"
 
 
 def test_extraction_inside_marked_wrappers():
-    weights, text = {"word": 1.0, "tag": -2.0}, " ".join(["word"] * 20)
-    for tag in ('body class="layout has-sidebar"', "body class=no-sidebar", 'div class="with-menu"', 'main id="search-results"', 'article class="post comments-open"'):
+    text = " ".join(["word"] * 20)
+    wrappers = ('body class="layout has-sidebar"', "body class=no-sidebar", 'body class="has-header single"', 'div class="with-menu"', 'main id="search-results"', 'article class="post comments-open"')
+    for tag in wrappers:
         page = f'<{tag}><div class="sidebar"><p>aside from it</p></div><p>{text}</p></{tag.split()[0]}>'
-        assert content.extract(page, weights) == text, tag
+        assert content.extract(page, {}) == text, tag
     page = f'<article><p>{text}</p></article><section id="comments"><p>{text} {text} {text}</p></section>'
-    assert content.extract(page, weights) == text
+    assert content.extract(page, {}) == text
+
+
+def test_extraction_goes_on_behind_a_long_insert():
+    text, after = " ".join(["word"] * 60), " ".join(["more"] * 12)
+    page = f'<div class="story"><h2>Two words</h2><p>{text}</p><div class="ad"><p>{text}</p></div><aside>{text}</aside><p>{after}</p></div><div class="related"><a>x y z</a></div>'
+    assert content.extract(page, {}) == f"Two words {text} {after}"
+
+
+def test_extraction_of_labelled_pages():
+    """The region alone decides: pages of several makes, with weights learned from others."""
+    rng = np.random.default_rng(6)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], n))
+    frames = (
+        '<body class="post-template has-sidebar single"><header>{x}</header><div id="page"><div class="hentry">{b}</div><div class="sidebar">{x}</div></div><footer>{x}</footer></body>',
+        '<body><nav>{x}</nav><article>{b}</article><div class="comments">{x} {x} {x}</div></body>',
+        '<body class="single"><ul><li><a>{x}</a></li><li><a>{x}</a></li></ul><main><article>{b}</article><article>{c}</article></main></body>',
+        '<div class="menu">{x}</div><div><div>{b}</div></div><form>{x}<input></form><ul><li><a>{x}</a></ul>',
+    )
+    right = 0
+    for k in range(80):
+        parts = [[f"<h1>{(h := say(int(rng.integers(1, 6))))}</h1>"] + [f"<p>{say(int(rng.integers(8, 60)))}</p>" for _ in range(rng.integers(2, 6))] for _ in range(2)]
+        page = frames[k % 4].format(x=say(3), b="".join(parts[0]), c="".join(parts[1]))
+        want = re.sub(r"<[^>]*>", " ", "".join(parts[0] + (parts[1] if k % 4 == 2 else []))).split()
+        right += content.extract(page, {}).split() == want
+    assert right >= 76
+
+
+def test_extraction_of_hostile_pages_is_linear():
+    import time
+
+    for part in ("<a ", '<a b="', "<div>", "</x>", "<div></x>", "<p>", "<div class=ad>", "<!--", "<", "&amp", "<script>", '<a b=\'">', "<a></a>", "<svg/>"):
+        page = part * (1_000_000 // len(part))
+        began = time.process_time()
+        content.extract(page, {})
+        assert time.process_time() - began < 8, part
+        small = part * (250_000 // len(part))
+        assert isinstance(content.extract(small, {}), str)
+    page = "<p>word here</p>" * 60_000
+    assert len(content.extract(page, {}).split()) == 120_000
 
 
 def test_extraction_query_equals_sql_and_generator(spark):
@@ -439,26 +508,37 @@ def test_extraction_query_equals_sql_and_generator(spark):
         body = re.search(r"(?s)<article>(.*?)</article>", pages[r.page_id])[1]
         body = html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", body)))
         assert r.text == " ".join(body.split()) and r.n_chars == len(r.text)
-    odd = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, None, ""), (3, "u", "<p>" * 50000)], "page_id long, url string, html string")
-    assert {r.text for r in content.with_text(odd, {"word": 1.0, "tag": -2.0}).collect()} == {""}
+        plain = pages[r.page_id].replace("article>", "div>")
+        if r.n_chars > 200:  # an element with most of a page's words isn't an advert
+            assert content.extract(plain, {}) == r.text, "the names of the elements aren't what decides"
+    odd = spark.createDataFrame([(1, "u", None, "t", 3), (2, None, "", "t", 3), (2, None, "", None, 3), (3, "u", "<p>" * 50000, "t", None)], "page_id long, url string, html string, text string, n_chars long")
+    got = content.with_text(odd, {}).collect()
+    assert {r.text for r in got} == {""} and len(got) == 4
+    assert content.fit(odd) == {}
 
 
 def test_region_is_the_maximum_sum():
     rng = np.random.default_rng(4)
     for _ in range(50):
-        items = [("text", "w " * int(rng.integers(0, 6)), bool(rng.random() < 0.2)) if rng.random() < 0.6 else ("tag", "p", False) for _ in range(25)]
-        gain = lambda x: (-1 if x[2] else 1) * len(x[1].split()) if x[0] == "text" else -2.0
+        items = []
+        for _ in range(25):
+            out = bool(rng.random() < 0.2)
+            n = int(rng.integers(0, 6))
+            items.append(content.Item(True, "w " * n, n, "", out) if rng.random() < 0.6 else content.Item(False, "x", 0, "", out, out and bool(rng.random() < 0.5)))
+        gain = lambda x: (-content.OUTSIDE if x.border else 0.0) if x.outside else float(x.words) if x.text else -2.0
         best = max([sum(map(gain, items[i:j])) for i in range(25) for j in range(i + 1, 26)] + [0])
-        a, b = content.region(items, {"word": 1.0, "tag": -2.0})
+        a, b = content.region(items, {"x": -2.0})
         assert sum(map(gain, items[a:b])) == best
 
 
 # --- packing, token counts -------------------------------------------------------------------------
 
 
-def check_bins(rows, docs, capacity):
-    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
-    assert sum(r.n_tokens for r in rows) == sum(len(words(t)) + 1 for _, t, _ in docs)
+def check_bins(rows, docs, capacity, lengths):
+    by_doc = Counter()
+    for r in rows:
+        by_doc[r.doc_id] += r.n_tokens
+    assert by_doc == {i: n + 1 for (i, _, _), n in zip(docs, lengths, strict=True)}
     bins = {}
     for r in rows:
         bins.setdefault(r.bin_id, []).append(r)
@@ -477,7 +557,9 @@ def check_bins(rows, docs, capacity):
 def test_packing_whole_table(spark):
     rows = queries.QUERIES["op1_best_fit_packing"](spark, SF).collect()
     docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    bins = check_bins(rows, docs, packing.CAPACITY)
+    with open(tokencounts.VOCABULARY, "rb") as f:
+        enc = tokencounts.encoder(f.read(), pytest.importorskip("public_tokenizers").PATTERN)
+    bins = check_bins(rows, docs, packing.CAPACITY, [len(enc.encode_ordinary(t or "")) for _, t, _ in docs])
     assert len(bins) < 1.35 * max(sum(r.n_tokens for r in rows) / packing.CAPACITY, max(Counter(s for _, _, s in docs).values()))
 
 
@@ -489,6 +571,14 @@ def test_packing_edge_cases(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_copies_of_a_row_are_spread_over_shards(spark):
+    docs = spark.range(6000).selectExpr("1L as doc_id", "'a b c' as text", "cast(null as string) as source", "0 as shard", "0 as n")
+    rows = packing.pack(docs, shard=500, capacity=100).collect()
+    assert len(rows) == len({r.bin_id for r in rows}) == 6000
+    shards = Counter(r.bin_id.split("-")[1] for r in rows)
+    assert len(shards) == 12 and max(shards.values()) < 650
+
+
 def test_best_fit_equals_a_plain_search():
     rng = np.random.default_rng(5)
     n = 400
@@ -520,10 +610,30 @@ def test_token_histogram_and_answers(spark):
     assert rows["docs_over", 5.0] == sum(x > 5 for x in s) and rows["quantile", 0.5] == s[math.ceil(0.5 * len(s)) - 1] and rows["quantile", 1.0] == s[-1]
     for r in hist.collect():
         assert (r.docs_from, r.docs_to, r.tokens_from) == (sum(x >= r.length for x in s), sum(x <= r.length for x in s), sum(x for x in s if x >= r.length))
+    limits = {(r.measure, r["at"]): r.value for r in tokencounts.every_limit(hist).collect()}
+    for c in set(s):
+        assert limits["docs_of_length", c] == s.count(c) and limits["docs_over", c] == sum(x > c for x in s)
+        assert limits["tokens_kept", c] == sum(min(x, c) for x in s) and limits["tokens_lost", c] == sum(s) - limits["tokens_kept", c]
     none = {(r.measure, r["at"]): r.value for r in tokencounts.answers(tokencounts.histogram(docs.limit(0).withColumn("n_tokens", F.lit(1))), quantiles=(0.5,)).collect()}
     assert none["documents", 0.0] == 0 and none["quantile", 0.5] is None
 
 
+def test_token_count_query_equals_brute_force(spark):
+    with open(tokencounts.VOCABULARY, "rb") as f:
+        enc = tokencounts.encoder(f.read(), pytest.importorskip("public_tokenizers").PATTERN)
+    s = sorted(len(enc.encode_ordinary(r.text or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect())
+    rows = queries.QUERIES["op2_token_counts"](spark, SF).collect()
+    got = {(r.measure, r["at"]): r.value for r in rows}
+    assert len(rows) == len(got)
+    want = {("documents", 0.0): len(s), ("tokens", 0.0): sum(s)}
+    want |= {("quantile", q): s[math.ceil(q * len(s)) - 1] for q in tokencounts.QUANTILES}
+    for c in {*s, *tokencounts.CONTEXTS}:
+        kept = sum(min(x, c) for x in s)
+        want |= {("docs_over", c): sum(x > c for x in s), ("tokens_kept", c): kept, ("tokens_lost", c): sum(s) - kept}
+    want |= {("docs_of_length", c): s.count(c) for c in s}
+    assert got == want
+
+
 def test_sql_counterparts(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages"):
