@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import gam, hyperdim, packing, simhash, winnowing
 from quillon.llm.common import materialize, table
+from quillon.llm.tokencounts import with_length
 
 #: Cosine with the nearest language below which a text is taken for none.
 MIN_LANGUAGE = 0.1
@@ -35,13 +36,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, similarity
-    0.8 or more), and one row of it if it is repeated. Rows with a null id have no name to be told
-    apart by and all stay."""
-    found = simhash.similar_documents(docs)
-    keep = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    stay = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each group of near copies (five-word shingles, similarity 0.8 or more): that with the
+    smallest id, then the smallest text hash. Rows with a null id have no name to be told apart by and
+    all stay. Rows of one id with different texts are told apart by their texts."""
+    found = simhash.similar_documents(docs).where("doc_id is not null")
+    rows = found.groupBy("component", "doc_id", "k").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct("doc_id", "k", "rows")).alias("r")
+    keep = materialize(rows.groupBy("component").agg(first).select("r.doc_id", "r.k", "r.rows"), "kept")
+    named = docs.withColumn("__k", F.xxhash64("text"))
+    on = lambda df: (named.doc_id == df.doc_id) & (F.col("__k") == df.k)
+    once, again = keep.where("rows = 1"), keep.where("rows > 1")
+    stay = named.join(once, on(once), "left_semi").drop("__k")
+    repeated = named.join(again, on(again), "left_semi").dropDuplicates(["doc_id", "__k"]).drop("__k")
+    return stay.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +59,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document in bins: ``bin_id, doc_id, piece, start, n_tokens``."""
-    return packing.pack(docs)
+    """Every document in bins, by its encoded length: ``bin_id, doc_id, piece, start, n_tokens``."""
+    return packing.pack(with_length(docs.select("doc_id", "text", "source"), out="__n"), length_col="__n")
 
 
 STAGES = [
