@@ -68,6 +68,11 @@ def search_shard(unit: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarr
     return found
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows by the power of two below their largest component: exact, and no square overflows or vanishes."""
+    return np.ldexp(v, 1 - np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
@@ -116,7 +121,7 @@ def nearest(
         for b in batches:
             for _, ids, v, asked_ids, qv in zip(*(c for c in b.columns), strict=True):
                 members = ids.as_py()
-                v, qv = (np.array(x.as_py(), np.float64) for x in (v, qv))
+                v, qv = (scaled(np.array(x.as_py(), np.float64)) for x in (v, qv))
                 unit = v / np.linalg.norm(v, axis=1, keepdims=True)
                 q_unit = qv / np.linalg.norm(qv, axis=1, keepdims=True)
                 for i, (name, hits) in enumerate(zip(asked_ids.as_py(), search_shard(unit, q_unit, k), strict=True)):

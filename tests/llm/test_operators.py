@@ -371,6 +371,13 @@ def test_neighbours_edge_cases(spark):
     assert qalsh.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_huge_and_tiny_components(spark):
+    rows = [(50, [3e200, 4e200]), (1, [3e-200, 4e-200]), (2, [-4e300, 3e300]), (3, [5e307, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, round(r.score, 12)) for r in qalsh.nearest(df, df.where("vec_id = 50")).orderBy("rank").collect()]
+    assert got == [(1, 1.0), (3, 0.6), (2, 0.0)]
+
+
 # --- hosts -----------------------------------------------------------------------------------------
 
 
