@@ -123,9 +123,9 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = 24
 #: Share of pairs right at the similarity that agree on a block at least; the number of blocks follows.
 SHARED = 0.97
-#: Bits of a block: SPARE more than it takes to number all classes, so that strangers seldom meet at any
-#: size of the table, and NARROW at least.
-NARROW, SPARE, WIDEST = 24, 4, 48
+#: Bits of a block: SPARE more than it takes to number all classes, so that of the strangers a class meets
+#: less than one in 16 blocks at any size of the table.
+SPARE, WIDEST = 4, 48
 #: Standard deviations by which the distance of a pair may exceed that expected at the similarity, of whole
 #: fingerprints, of their first words and of either where a set is below SURE; and by which it must fall
 #: short to be believed without comparing the sets.
@@ -186,7 +186,7 @@ def set_class(h: np.ndarray) -> int:
 def block_plan(classes: int, similarity: float) -> np.ndarray:
     """The bits of each block, a row a block: as many blocks as it takes for a pair at this similarity to
     agree on one with chance SHARED. Blocks part a shuffle of all bits, then of another shuffle, and so on."""
-    width = min(WIDEST, max(NARROW, math.ceil(math.log2(max(2, classes))) + SPARE))
+    width = min(WIDEST, math.ceil(math.log2(max(2, classes))) + SPARE)
     agree = (1 - most_bits(similarity) / (WORDS * BITS)) ** width
     blocks = math.ceil(math.log(1 - SHARED) / math.log(1 - agree))
     each = WORDS * BITS // width
