@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -18,13 +18,15 @@ from quillon.llm.common import as_bytes, field, fold, materialize, table
 
 #: The end of a text, counted as a token; no word has white space.
 END = b"\n"
-#: Types that are clustered: the most frequent words (END among them), and for all other words
-#: the classes of their last three bytes. All are fixed in number, so the bigram table is too.
+#: Types that are clustered first: the most frequent words (END among them), and for all other words
+#: the classes of their last three bytes. All are fixed in number, so this bigram table is too.
 WORDS, ENDINGS = 768, 256
 TYPES = WORDS + ENDINGS
 CLASSES = 64
 #: Frequent words, with their counts, that every scoring task has at hand; others are joined.
 HEAD = 100_000
+#: How often a frequent word must be seen to get a class of its own, by the classes around it.
+SEEN = 10
 #: Distinct tokens that a task counts before it passes them on.
 FLUSH = 400_000
 #: Class bigrams are backed off to class frequencies with this weight.
@@ -42,6 +44,20 @@ def ending(word: bytes) -> int:
     return crc32(word[-3:]) % ENDINGS
 
 
+def _f(v: np.ndarray) -> np.ndarray:
+    return v * np.log(np.maximum(v, 1e-12))
+
+
+def gains(table: np.ndarray, after: np.ndarray, before: np.ndarray, own: float = 0.0) -> np.ndarray:
+    """What each class adds to the likelihood of the class bigrams ``table`` if a type joins it: ``after`` and
+    ``before`` count the classes around the type, ``own`` its repeats; the table holds none of these."""
+    left, right, d = table.sum(1), table.sum(0), np.diag(table)
+    rows, cols = _f(table + after) - _f(table), _f(table + before[:, None]) - _f(table)
+    gain = rows.sum(1) - np.diag(rows) + cols.sum(0) - np.diag(cols)
+    gain += _f(d + after + before + own) - _f(d)
+    return gain - (_f(left + after.sum() + own) - _f(left) + _f(right + before.sum() + own) - _f(right))
+
+
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     """Classes of the types whose bigram counts are given: each type in turn goes to the class
     that gives the class bigrams the largest likelihood, until a sweep moves none. Types start
@@ -54,7 +70,6 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     member = np.zeros((n, classes))
     member[np.arange(n), of] = 1
     table = member.T @ b @ member
-    f = lambda v: v * np.log(np.maximum(v, 1e-12))
     for _ in range(sweeps):
         moved = 0
         for w in rank:
@@ -69,12 +84,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
             table[old] -= after
             table[:, old] -= before
             table[old, old] -= own
-            left, right = table.sum(1), table.sum(0)
-            rows, cols = f(table + after) - f(table), f(table + before[:, None]) - f(table)
-            d = np.diag(table)
-            gain = rows.sum(1) - np.diag(rows) + cols.sum(0) - np.diag(cols)
-            gain += f(d + after + before + own) - f(d)
-            gain -= f(left + after.sum() + own) - f(left) + f(right + before.sum() + own) - f(right)
+            gain = gains(table, after, before, own)
             new = int(np.argmax(gain))
             if gain[new] <= gain[old] + 1e-9:
                 new = old
@@ -98,7 +108,8 @@ class ClassModel:
     distinct: int
     head: dict[bytes, tuple[int, int]]  # token to its type and count
     floor: int | None  # the smallest count in head, if it has any
-    move: np.ndarray  # log10 P(class of type | class of type before), flat over types
+    of: np.ndarray  # the class of each type: clustered ones, then placed words
+    move: np.ndarray  # log10 P(class | class before), flat
     emit: np.ndarray  # log10 P(type | class), for endings less the log of their unseen mass
     learned: bool
 
@@ -157,6 +168,68 @@ def count_bigrams(docs: DataFrame, text_col: str, types: dict[bytes, int]) -> np
     return out.reshape(TYPES, TYPES)
 
 
+def count_cells(docs: DataFrame, text_col: str, types: dict[bytes, int], cells: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``(cell, n)``: how often each number occurs among those that ``cells`` makes of the types of a text, which
+    begins after END. Each task adds up before anything is shuffled."""
+    end = types[END]
+
+    def summed(waiting: list[np.ndarray]) -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate([np.empty(0, np.int64), *waiting]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["cell", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for b in batches:
+            for t in as_bytes(b.column(0)):
+                waiting.append(cells(np.array([end, *_type_ids(tokens(t), types)], np.int64)))
+                size += len(waiting[-1])
+                if size > TYPES * TYPES:
+                    yield summed(waiting)
+                    waiting, size = [], 0
+        yield summed(waiting)
+
+    made = docs.select(text_col).mapInArrow(counted, "cell long, n long")
+    return made.groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def place(docs: DataFrame, text_col: str, types: dict[bytes, int], of: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """``of`` with better classes for the placed words (types from TYPES on): each leaves the class of its
+    ending for the one that gives the class bigrams ``pairs`` the largest likelihood, by the classes before and
+    after it over all rows; ties go to the lowest class. All see the same classes around them, so the words
+    are placed side by side; of each word a task has the counts of CLASSES classes on two sides at most."""
+
+    def around(ids: np.ndarray) -> np.ndarray:
+        x, y = ids[:-1], ids[1:]
+        y_placed, x_placed = (y >= TYPES) & (x != y), (x >= TYPES) & (x != y)
+        before = (y[y_placed] * 2) * CLASSES + of[x[y_placed]]
+        after = (x[x_placed] * 2 + 1) * CLASSES + of[y[x_placed]]
+        return np.concatenate([before, after])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for w, seen in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sides = np.zeros(2 * CLASSES)
+                for cell in seen:
+                    sides[cell["at"]] = cell["n"]
+                before, after, old = sides[:CLASSES], sides[CLASSES:], of[w]
+                table = pairs.copy()
+                table[old] -= after
+                table[:, old] -= before
+                gain = gains(np.maximum(table, 0), after, before)
+                new = int(np.argmax(gain))
+                found.append(new if gain[new] > gain[old] + 1e-9 else int(old))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int32())], names=["w", "k"])
+
+    cells = count_cells(docs, text_col, types, around)
+    word, at = F.expr(f"cell div {2 * CLASSES}").alias("w"), F.expr(f"cast(cell % {2 * CLASSES} as int)").alias("at")
+    seen = cells.select(word, F.struct(at, "n").alias("s")).groupBy("w").agg(F.collect_list("s").alias("s"))
+    new = seen.mapInArrow(placed, "w long, k int").toArrow()
+    of = of.copy()
+    of[new["w"].to_numpy()] = new["k"].to_numpy()
+    return of
+
+
 def fit(docs: DataFrame, *, text_col: str = "text") -> ClassModel:
     """Learn from all rows of ``docs``. Nulls are empty texts, which have the end alone.
 
@@ -180,24 +253,35 @@ def fit(docs: DataFrame, *, text_col: str = "text") -> ClassModel:
     types[END] = WORDS - 1
     bigrams = count_bigrams(docs, text_col, types)
     of = exchange(bigrams, CLASSES)
-    size = bigrams.sum(0).astype(np.float64)
+    least = max(SEEN, frequent[-1][0]) if frequent else None
+    own = [(w, c) for c, w in frequent if c >= SEEN and w not in types]
+    by_end = F.expr(f"crc32(substring(token, -3, 3)) % {ENDINGS}").cast("int")
+    tail = counts.where(~F.col("token").isin(*types))
+    tail = tail if least is None else tail.where(F.col("c") < least)
+    mass = tail.groupBy(by_end.alias("e")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    rest, unseen = np.zeros(ENDINGS), np.ones(ENDINGS)
+    for r in mass:
+        rest[r.e], unseen[r.e] = r.n, r.n + r.v + 1
+    size = np.concatenate([bigrams.sum(0)[:WORDS], rest, [c for _, c in own]])
     member = np.zeros((TYPES, CLASSES))
     member[np.arange(TYPES), of] = 1
     pairs = member.T @ bigrams @ member
+    if own:
+        of = np.concatenate([of, of[[WORDS + ending(w) for w, _ in own]]])
+        types |= {w: TYPES + i for i, (w, _) in enumerate(own)}
+        of = place(docs, text_col, types, of, pairs)
+        cells = count_cells(docs, text_col, types, lambda ids: of[ids[:-1]] * CLASSES + of[ids[1:]]).toArrow()
+        pairs = np.zeros(CLASSES * CLASSES)
+        pairs[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+        pairs = pairs.reshape(CLASSES, CLASSES)
     share = (pairs.sum(0) + 1) / (pairs.sum() + CLASSES)
     p = (pairs + BACKOFF * share) / (pairs.sum(1, keepdims=True) + BACKOFF)
-    emit = np.log10((size + 0.5) / (member.T @ (size + 0.5))[of])
-    tail = counts.where(~F.col("token").isin(*types))
-    by_end = F.expr(f"crc32(substring(token, -3, 3)) % {ENDINGS}").cast("int")
-    mass = tail.groupBy(by_end.alias("e")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    unseen = np.ones(ENDINGS)
-    for r in mass:
-        unseen[r.e] = r.n + r.v + 1
-    emit[WORDS:] -= np.log10(unseen)
+    emit = np.log10((size + 0.5) / np.bincount(of, size + 0.5, CLASSES)[of])
+    emit[WORDS:TYPES] -= np.log10(unseen)
     head = {w: (types[w] if w in types else WORDS + ending(w), c) for c, w in frequent}
     return ClassModel(
         counts, n, v, head, frequent[-1][0] if frequent else None,
-        np.log10(p)[np.ix_(of, of)].ravel().astype(np.float64), emit, n > 0,
+        of, np.log10(p).ravel(), emit, n > 0,
     )
 
 
@@ -205,18 +289,18 @@ def score(docs: DataFrame, model: ClassModel, *, id_col: str = "doc_id", text_co
     """``(id_col, n_tokens, n_known, base_score, score)``, a row for each row of ``docs``.
 
     A word has the probability of its class after the class before it, times its own within the
-    class; a word that isn't clustered stands in the class of its ending, with its count plus one
-    among the words of that ending. Frequent words are looked up where the text is; the others are
+    class; a word without a class of its own stands in the class of its ending, with its count plus one
+    among such words of that ending. Frequent words are looked up where the text is; the others are
     joined with the table of counts by word, and only their sums go back to the texts. Null and
     empty texts have the end alone; a model of no texts gives every token the same probability.
     """
     n_all, v_all, types = model.tokens, model.distinct, {}
-    head, move, emit, end = model.head, model.move, model.emit, WORDS - 1
+    head, of, move, emit, end = model.head, model.of, model.move, model.emit, WORDS - 1
+    in_tail = (np.arange(len(of)) >= WORDS) & (np.arange(len(of)) < TYPES)
     for w, (i, _) in head.items():
-        if i < WORDS:
+        if not in_tail[i]:
             types[w] = i
     types[END] = end
-    in_tail = np.arange(TYPES) >= WORDS
     log_head = {w: math.log10(c + 1) for w, (_, c) in head.items()}
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +312,7 @@ def score(docs: DataFrame, model: ClassModel, *, id_col: str = "doc_id", text_co
                 logs = [log_head.get(w) for w in words]
                 rare = [w for w, x in zip(words, logs, strict=True) if x is None]
                 logs = np.array([0.0 if x is None else x for x in logs])
-                s = move[ids[:-1] * TYPES + ids[1:]].sum() + emit[ids[1:]].sum()
+                s = move[of[ids[:-1]] * CLASSES + of[ids[1:]]].sum() + emit[ids[1:]].sum()
                 s += logs[in_tail[ids[1:]]].sum()
                 for c, x in zip(cols, (len(words), len(words) - len(rare), logs.sum(), s, rare), strict=True):
                     c.append(x)

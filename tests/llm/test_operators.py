@@ -336,6 +336,39 @@ def test_language_model_without_texts(spark):
     assert brown.score(empty, model).count() == 0
 
 
+def test_language_model_places_words_and_equals_plain_scores(spark):
+    rng = np.random.default_rng(3)
+    subjects, verbs = [f"s{i}x" for i in range(700)], [f"v{i}x" for i in range(700)]
+    line = lambda: " ".join(f"{subjects[a]} {verbs[b]}" for a, b in rng.integers(0, 700, (25, 2)))
+    rows = [(i, line()) for i in range(1000)] + [(1000, "s1x Rare1 v2x"), (1001, None), (1002, "")]
+    docs = frame(spark, rows)
+    model = brown.fit(docs)
+    texts = [brown.tokens(t and t.encode()) for _, t in rows]
+    c = Counter(w for t in texts for w in t)
+    types = {w: i for w, (i, _) in model.head.items()} | {brown.END: brown.WORDS - 1}
+    placed = [w for w, i in types.items() if i >= brown.TYPES]
+    assert set(placed) == {w for w in c if c[w] >= brown.SEEN and types[w] >= brown.TYPES} and len(placed) > 500
+    assert c[b"rare1"] == 1 and types[b"rare1"] == brown.WORDS + brown.ending(b"rare1")
+    # words that follow one another stand in other classes
+    kinds = {k: {int(model.of[types[w]]) for w in placed if w[:1] == k} for k in (b"s", b"v")}
+    assert not kinds[b"s"] & kinds[b"v"]
+    # class pairs, emissions and scores, word by word
+    pairs = np.zeros((brown.CLASSES, brown.CLASSES))
+    for t in texts:
+        for x, y in zip([brown.END, *t], t, strict=False):
+            pairs[model.of[types[x]], model.of[types[y]]] += 1
+    share = (pairs.sum(0) + 1) / (pairs.sum() + brown.CLASSES)
+    p = (pairs + brown.BACKOFF * share) / (pairs.sum(1, keepdims=True) + brown.BACKOFF)
+    assert np.allclose(10 ** model.move.reshape(pairs.shape), p)
+    in_tail = lambda w: brown.WORDS <= types[w] < brown.TYPES
+    emitted = {w: 10 ** model.emit[types[w]] * (c[w] + 1 if in_tail(w) else 1) for w in c}
+    for k in range(brown.CLASSES):
+        assert sum(q * p[k, model.of[types[w]]] for w, q in emitted.items()) <= 1 + 1e-9
+    want = [sum(math.log10(p[model.of[types[x]], model.of[types[y]]] * emitted[y]) for x, y in zip([brown.END, *t], t, strict=False)) for t in texts]
+    got = {r.doc_id: r.score for r in brown.score(docs, model).collect()}
+    assert all(math.isclose(got[i], x, rel_tol=1e-9) for (i, _), x in zip(rows, want, strict=True))
+
+
 def test_exchange_separates_words_by_context():
     b = np.zeros((6, 6))
     for x, y in ((0, 2), (0, 3), (1, 2), (1, 3)):
