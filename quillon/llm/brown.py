@@ -294,26 +294,25 @@ def score(docs: DataFrame, model: ClassModel, *, id_col: str = "doc_id", text_co
     joined with the table of counts by word, and only their sums go back to the texts. Null and
     empty texts have the end alone; a model of no texts gives every token the same probability.
     """
-    n_all, v_all, types = model.tokens, model.distinct, {}
+    n_all, v_all = model.tokens, model.distinct
     head, of, move, emit, end = model.head, model.of, model.move, model.emit, WORDS - 1
     in_tail = (np.arange(len(of)) >= WORDS) & (np.arange(len(of)) < TYPES)
-    for w, (i, _) in head.items():
-        if not in_tail[i]:
-            types[w] = i
-    types[END] = end
-    log_head = {w: math.log10(c + 1) for w, (_, c) in head.items()}
+    index = {w: i for i, w in enumerate(head)}
+    kind = np.array([*(i for i, _ in head.values()), end], np.int64)  # the last of both is for words not at hand
+    log = np.array([*(math.log10(c + 1) for _, c in head.values()), 0.0])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]
             for t in as_bytes(b.column(1)):
                 words = tokens(t)
-                ids = np.array([end, *_type_ids(words, types)], np.int64)
-                logs = [log_head.get(w) for w in words]
-                rare = [w for w, x in zip(words, logs, strict=True) if x is None]
-                logs = np.array([0.0 if x is None else x for x in logs])
-                s = move[of[ids[:-1]] * CLASSES + of[ids[1:]]].sum() + emit[ids[1:]].sum()
-                s += logs[in_tail[ids[1:]]].sum()
+                at = np.array([index.get(w, -1) for w in words], np.int64)
+                ids, logs, lost = kind[at], log[at], np.flatnonzero(at < 0)
+                rare = [words[j] for j in lost]
+                ids[lost] = [end if w == END else WORDS + ending(w) for w in rare]
+                k = of[ids]
+                s = move[of[end] * CLASSES + k[0]] + move[k[:-1] * CLASSES + k[1:]].sum() + emit[ids].sum()
+                s += logs[in_tail[ids]].sum()
                 for c, x in zip(cols, (len(words), len(words) - len(rare), logs.sum(), s, rare), strict=True):
                     c.append(x)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
@@ -328,12 +327,13 @@ def score(docs: DataFrame, model: ClassModel, *, id_col: str = "doc_id", text_co
     counts = model.counts
     if model.floor is not None:
         counts = counts.where(F.col("c") <= model.floor)
+    of_join = F.log10(F.col("c") + 1)
     found = rare.join(counts, "token").groupBy("row").agg(
-        F.sum(F.log10(F.col("c") + 1)).alias("logs"), F.count("*").alias("more")
+        F.sum(of_join).alias("logs"), F.sum(F.when(F.col("token") != F.lit(END), of_join)).alias("ending_logs"), F.count("*").alias("more")
     )
     logs = F.coalesce("logs", F.lit(0.0))
     flat = math.log10(n_all + v_all + 1)
-    own = F.col("own") + logs if model.learned else F.col("n") * F.lit(-flat)
+    own = F.col("own") + F.coalesce("ending_logs", F.lit(0.0)) if model.learned else F.col("n") * F.lit(-flat)
     return here.drop("rare").join(found, "row", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_tokens"),
