@@ -91,8 +91,9 @@ def _solve(k: Column, n: Column, target: Column) -> Column:
         def moved(v: Column) -> Column:
             low = v < target
             lo, hi = F.when(low, p).otherwise(s["lo"]), F.when(low, s["hi"]).otherwise(p)
-            tried = p - (v - target) / slope
-            new = F.when((tried > lo) & (tried < hi), tried).otherwise((lo + hi) / 2)
+            tried = p - F.try_divide(v - target, slope)  # null where the slope vanishes, far from the end
+            # A step too short to move p ends the search: p is an end of the bracket by now, which isn't left for it.
+            new = F.when(((tried > lo) & (tried < hi)) | (tried == p), tried).otherwise((lo + hi) / 2)
             return F.struct(lo.alias("lo"), hi.alias("hi"), new.alias("p"), p.alias("was"), s["scale"].alias("scale"))
 
         return F.when(F.abs(p - s["was"]) <= 1e-16, s).otherwise(F.transform(F.array(binom_sf(k, n, p)), moved)[0])
