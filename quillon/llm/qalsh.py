@@ -95,9 +95,12 @@ def nearest(
         f"{id_col} is not null and exists({vec_col}, x -> x <> 0) and "
         f"forall({vec_col}, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     )
-    clean = lambda df: df.where(F.coalesce(ok, F.lit(False))).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")
-    )
+
+    def clean(df: DataFrame) -> DataFrame:
+        v = F.col(vec_col)  # singles travel as such, at half the size, and become doubles where they are compared
+        v = v if df.schema[vec_col].dataType == T.ArrayType(T.FloatType()) else v.cast("array<double>")
+        return df.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+
     # Spark prunes to the first ids of each vector before it shuffles, so copies don't gather.
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     entry = clean(vectors).distinct().withColumn("nth", first).where(f"nth <= {k + 1}")
@@ -114,7 +117,8 @@ def nearest(
     right = right.select(
         "block", "dims", "id", F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
     )
-    met = left.join(right, ["shard", "dims"]).select("block", "ids", "v", "id", "qv")
+    # By exchange: Spark's estimate knows one copy of the queries, so it may broadcast one for each shard by the driver.
+    met = left.join(right.hint("merge"), ["shard", "dims"]).select("block", "ids", "v", "id", "qv")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}

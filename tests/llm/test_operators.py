@@ -411,6 +411,12 @@ def test_neighbours_of_huge_and_tiny_components(spark):
     assert got == [(1, 1.0), (3, 0.6), (2, 0.0)]
 
 
+def test_neighbours_send_no_queries_by_the_driver(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(101)], "vec_id long, embedding array<float>")
+    found = qalsh.nearest(df, df.where("vec_id % 50 = 0"))
+    assert found.count() == 15 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # --- hosts -----------------------------------------------------------------------------------------
 
 
