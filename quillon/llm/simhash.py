@@ -131,7 +131,7 @@ SPARE, WIDEST = 4, 48
 #: short to be believed without comparing the sets.
 FAR, FAR_WORD, FAR_SMALL, CLEAR, SURE = 2.5, 4.0, 6.0, 5.0, 64
 #: Rounds in which every class is held against so many others at most, before all that is left.
-ROUNDS, PIVOTS = 2, 8
+ROUNDS, PIVOTS = 4, 8
 _LANES = np.uint64(0x0101010101010101)
 _STEPS = np.array([0x9E3779B97F4A7C15 * (j + 1) & 0xFFFFFFFFFFFFFFFF for j in range(WORDS)], np.uint64)
 
@@ -269,9 +269,10 @@ def linked_classes(
     """``(node, root)`` of the classes ``c`` that hang together by the pairs of one ``key`` that ``near``
     confirms, a filter of distinct pairs ``(c, d)``.
 
-    First come rounds in which every class is held against PIVOTS others at most: of the smallest classes
-    of the largest components in its keys those that most keys name, as close classes share more keys
-    than strangers do. So a large group of close classes becomes one component at a few comparisons a
+    First come rounds in which every class is held against PIVOTS others at most: each key names a class of its
+    largest component, the first by an order that is another in every round, and of those named a class
+    meets those that most keys name, as close classes share more keys than strangers do. Who isn't near
+    the pivots of one round meets others in the next. So a large group of close classes becomes one component at a few comparisons a
     member. Then, in keys whose classes still lie in several components, all that aren't of the key's
     largest are compared with all that are of another component than theirs: no pair is left out but those
     that can't change a component. ``may``: a condition on the columns of ``facts`` that is true of every
@@ -283,8 +284,10 @@ def linked_classes(
     rows = shared.select("key", "c", F.col("c").alias("root"))
     found: DataFrame | None = None
     tables = [shared]
-    for last in [False] * ROUNDS + [True]:
-        sizes = rows.groupBy("key", "root").agg(F.count("*").alias("size"), F.min("c").alias("d"))
+    for nth_round in range(ROUNDS + 1):
+        last = nth_round == ROUNDS
+        order = F.struct(F.xxhash64("c", F.lit(nth_round)), "c") if nth_round else F.col("c")
+        sizes = rows.groupBy("key", "root").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("order"), "c"))["c"].alias("d"))
         largest = F.max(F.struct("size", (-F.col("d")).alias("order"), "root", "d")).alias("m")
         sizes = sizes.groupBy("key").agg(largest, F.count("*").alias("roots")).where("roots > 1")
         rows = materialize(rows.drop("d", "largest").join(sizes.select("key", F.col("m.root").alias("largest"), "m.d"), "key"), "open")
